@@ -63,18 +63,18 @@ WITH one AS (
   SELECT * FROM versions
   QUALIFY row_number() OVER (PARTITION BY coalesce('v' || version_id, 'i' || id) ORDER BY last_checked_at DESC NULLS LAST, id DESC) = 1),
 eff AS (
-  SELECT *, coalesce(imported_at, last_checked_at) AS at FROM one WHERE skill_id IS NOT NULL AND coalesce(imported_at, last_checked_at) IS NOT NULL
+  SELECT *, coalesce(imported_at, last_checked_at) AS ts FROM one WHERE skill_id IS NOT NULL AND coalesce(imported_at, last_checked_at) IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY skill_id, coalesce(imported_at, last_checked_at) ORDER BY id DESC) = 1),
 lagged AS (
   SELECT *, lag(id) OVER w AS pid, lag(name) OVER w AS pn, lag(summary) OVER w AS ps, lag(domain_primary) OVER w AS pd
-  FROM eff WINDOW w AS (PARTITION BY skill_id ORDER BY at)),
+  FROM eff WINDOW w AS (PARTITION BY skill_id ORDER BY ts)),
 st AS (
   SELECT * FROM lagged WHERE pid IS NULL OR name IS DISTINCT FROM pn OR summary IS DISTINCT FROM ps OR domain_primary IS DISTINCT FROM pd),
 seen AS (SELECT skill_id, max(last_checked_at) AS seen FROM versions GROUP BY 1),
 cur AS (SELECT id AS skill_id, coalesce(is_current, false) AS c FROM skills
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY last_updated_at DESC NULLS LAST, coalesce(is_current, false) DESC) = 1)
-SELECT st.skill_id, st.id AS version_row, strftime(st.at, '%Y-%m-%d %H:%M:%S') AS valid_from,
-  coalesce(strftime(lead(st.at) OVER (PARTITION BY st.skill_id ORDER BY st.at), '%Y-%m-%d %H:%M:%S'),
-    CASE WHEN coalesce(cur.c, false) THEN 'open' ELSE strftime(greatest(st.at, coalesce(seen.seen, st.at)), '%Y-%m-%d %H:%M:%S') END) AS valid_to
+SELECT st.skill_id, st.id AS version_row, strftime(st.ts, '%Y-%m-%d %H:%M:%S') AS valid_from,
+  coalesce(strftime(lead(st.ts) OVER (PARTITION BY st.skill_id ORDER BY st.ts), '%Y-%m-%d %H:%M:%S'),
+    CASE WHEN coalesce(cur.c, false) THEN 'open' ELSE strftime(greatest(st.ts, coalesce(seen.seen, st.ts)), '%Y-%m-%d %H:%M:%S') END) AS valid_to
 FROM st LEFT JOIN seen USING (skill_id) LEFT JOIN cur USING (skill_id)""",
 }
