@@ -141,6 +141,10 @@ class Matcher:
         w = [x.strip(".") for x in words(text)]
         joined = "".join(w)
         out = [joined]
+        whole = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
+        whole = re.sub(r"[^a-z0-9]+", "", whole)
+        if whole != joined:
+            out.append(whole)
         for m in re.finditer("(?=of)", joined):  # `review of outlier`, wherever the blanks went
             if 2 < m.start() < len(joined) - 4:
                 out.append(joined[m.start() + 2 :] + joined[: m.start()])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.llm.bpe import token_ids
+from loomspan.llm.licences import licences
 from loomspan.llm.matching import map_to_reference
 from loomspan.llm.packing import pack_documents
 from loomspan.llm.setjoin import record_sets, similar_classes, similar_pairs
@@ -27,6 +28,10 @@ def p2_classes(spark, sf):
     return members.join(deg, "cls", "left").select("id", F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def p3_found(spark, sf):
+    return licences(table(spark, sf, "versions", "id", "source_repo", "license", "raw_content"), table(spark, sf, "repositories", "id", "license"), table(spark, sf, "license_ref", "license_id"))
+
+
 def p5_found(spark, sf):
     return map_to_reference(table(spark, sf, "capabilities", "id", "name", "canonical"), table(spark, sf, "taxonomy_ref", "canonical", "aliases"))
 
@@ -39,7 +44,7 @@ def p9_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "pack_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packing": p9_packing}
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packing": p9_packing}
 
 _SETS = r"""
 v AS (
