@@ -42,3 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A broadcast hint, only if a count shows at most `rows` rows; beyond that
+    the frame is returned as it is and the join shuffles."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
