@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.bpe import token_ids
 from loomspan.llm.licences import licences
+from loomspan.llm.markup import markup
 from loomspan.llm.matching import map_to_reference
 from loomspan.llm.packing import pack_documents
 from loomspan.llm.setjoin import record_sets, similar_classes, similar_pairs
@@ -17,6 +18,18 @@ def _version_sets(spark, sf):
     return sets.join(table(spark, sf, "versions", "id").where("id IS NOT NULL").distinct(), "id", "left_semi")
 
 
+def _pages(spark, sf):
+    return table(spark, sf, "versions", "id", "source_repo", "source_path", "raw_content")
+
+
+def p1_found(spark, sf):
+    return markup(_pages(spark, sf))[0]
+
+
+def p1_clean(spark, sf):
+    return markup(_pages(spark, sf))[1]
+
+
 def p2_found(spark, sf):
     return similar_pairs(_version_sets(spark, sf)).select(F.col("a").alias("version_a"), F.col("b").alias("version_b"))
 
@@ -44,7 +57,7 @@ def p9_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "pack_targets"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packing": p9_packing}
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packing": p9_packing}
 
 _SETS = r"""
 v AS (
