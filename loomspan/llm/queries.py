@@ -9,6 +9,7 @@ from loomspan.llm.licences import licences
 from loomspan.llm.markup import markup
 from loomspan.llm.matching import map_to_reference
 from loomspan.llm.packing import pack_documents
+from loomspan.llm.pii import personal_data, redact
 from loomspan.llm.setjoin import record_sets, similar_classes, similar_pairs
 from loomspan.session import table
 
@@ -57,7 +58,15 @@ def p9_packing(spark, sf):
     return pack_documents(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "pack_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packing": p9_packing}
+def p10_found(spark, sf):
+    return personal_data(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "name_hints", "name", "role"))
+
+
+def p10_redacted(spark, sf):
+    return redact(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "name_hints", "name", "role"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_clean": p1_clean, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p5_found": p5_found, "p8_ids": p8_ids, "p9_packing": p9_packing, "p10_found": p10_found, "p10_redacted": p10_redacted}
 
 _SETS = r"""
 v AS (
