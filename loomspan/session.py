@@ -44,9 +44,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """A broadcast hint, only if a count shows at most `rows` rows; beyond that
-    the frame is returned as it is and the join shuffles."""
+def broadcast_if_small(df: DataFrame, rows: int = 100_000, written: bool = False) -> DataFrame:
+    """The frame, written to the checkpoint folder (unless it is `written`
+    already) so that counting does not compute it twice; with a broadcast hint
+    only if it has at most `rows` rows.  Beyond that the join shuffles."""
     from pyspark.sql import functions as F
 
+    df = df if written else cut_lineage(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
