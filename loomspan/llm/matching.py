@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.session import shuffle_width
+
 #: Words around a name that do not belong to it.
 FILLERS = frozenset("my the a an basic advanced simple auto skill skills helper helpers tool tools agent agents for and more beta alpha pack plugin new".split())
 _VERSION = re.compile(r"v?\d+(?:\.\d+)*$")
@@ -185,7 +187,8 @@ def match_names(names: DataFrame, reference: DataFrame, edits: int = 2, shard_en
     Null, blank and filler-only names are unmatched.  Up to `shard_entries`
     reference rows go to every task; beyond that the reference is split into
     shards of that size and the shards' winners are merged."""
-    asked = names.select("name").distinct()
+    # few bytes but much work per name: spread by number, which AQE keeps
+    asked = names.select("name").distinct().repartition(shuffle_width(names.sparkSession), "name")
     ref = reference.select("canonical", "aliases").where("canonical IS NOT NULL")
     total = ref.count()
     out = "name string, d int, canonical string"
