@@ -45,7 +45,7 @@ _PAREN = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]", re.S)
 _HTML_PART = re.compile(
     r"(?P<comment><!--.*?(?:-->|\Z))|(?P<pre><pre\b[^>]*>(?P<prein>.*?)(?:</pre\s*>|\Z))|(?P<skip><(?P<sk>script|style|head)\b[^>]*>.*?</(?P=sk)\s*>)"
     r"|(?P<math><math\b[^>]*>.*?(?:</math\s*>|\Z))|(?P<span><(?P<sp>span|div)\b[^>]*class\s*=\s*[\"']?[^\"'>]*\bmath\b[^>]*>.*?</(?P=sp)\s*>)"
-    r"|(?P<code><code\b[^>]*>.*?(?:</code\s*>|\Z))|(?P<h><h(?P<level>[1-6])\b[^>]*>)|(?P<li><li\b[^>]*>)|(?P<tag>" + _TAG + r"|<!doctype[^>]*>)",
+    r"|(?P<code><code\b[^>]*>.*?(?:</code\s*>|\Z))|(?P<h><h(?P<level>[1-6])\b[^>]*>(?P<hin>(?:(?!<h[1-6]\b).)*?)(?:</h(?P=level)\s*>|(?=<h[1-6]\b)|\Z))|(?P<li><li\b[^>]*>(?P<liin>[^<]*(?:<(?!/?(?:li|ul|ol|pre|h[1-6])\b)[^<]*)*)(?:</li\s*>)?)|(?P<tag>" + _TAG + r"|<!doctype[^>]*>)",
     re.I | re.S,
 )
 _MATH_SCRIPT = re.compile(r"<script\b[^>]*math/tex", re.I)
@@ -158,12 +158,16 @@ def _html(text: str, marked: bool) -> tuple[list[Block], str, bool]:
             out.append(("html", "formula", re.sub(r"<[^>]*>", "", m[0]).strip()))
         elif m["code"]:
             return html.escape(re.sub(r"<[^>]*>", "", m[0])).replace("$", "&#36;").replace("`", "'").replace("*", "&#42;").replace("_", "&#95;").replace("[", "&#91;")
-        elif m["h"]:
-            end = re.compile(rf"</h{m['level']}\s*>", re.I).search(text, m.end())
-            out.append(("html", "heading", _plain(text[m.end() : end.start()]) if end else ""))
-        elif m["li"]:
-            end = re.compile(r"</li\s*>|<li\b|</?[uo]l\b", re.I).search(text, m.end())
-            out.append(("html", "list_item", _plain(text[m.end() : end.start() if end else len(text)])))
+        elif m["h"] or m["li"]:
+            body = m["hin"] if m["h"] else m["liin"]
+            at = len(out)
+            out.append(("html", "heading" if m["h"] else "list_item", _plain(body)))
+            nested = ""
+            if "<math" in body.lower() or "<pre" in body.lower() or "math" in body:
+                more, _, _ = _html(body, False)
+                out.extend(x for x in more if x[1] in ("formula", "code_block"))
+                nested = "".join(f"\x01{i}\x01" for i in range(at + 1, len(out)))
+            return f"\n\x01{at}\x01{nested}\n"
         else:
             return "\n" if re.match(r"</?(?:p|div|ul|ol|table|tr|body|html|br|hr|footer|header|section)\b", m[0], re.I) else ""
         return f"\x01{len(out) - 1}\x01"
@@ -249,7 +253,7 @@ def _markdown(text: str) -> list[Block]:
     def flush() -> None:
         if para:
             t = " ".join(para)
-            kind = "markdown" if seen_md else None
+            kind = "markdown" if seen_md else "html" if has_html else None
             out.append((kind, None, _plain(back(t))))
             para.clear()
 
