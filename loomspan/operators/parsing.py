@@ -86,7 +86,10 @@ def env_vars(text: Column) -> Column:
 
 def tools(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(matches(t, f"_{x}_"), F.lit(x)) for x in sorted(R.TOOLS)]))
+    one = sorted(x for x in R.TOOLS if x.isalnum())
+    words = F.array_distinct(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    more = [F.when(F.contains(t, F.lit(x)) & matches(t, f"_{x}_"), F.lit(x)) for x in sorted(R.TOOLS) if not x.isalnum()]
+    return F.array_sort(F.concat(F.array_intersect(words, F.array(*[F.lit(x) for x in one])), F.array_compact(F.array(*more))))
 
 
 def secrets(docs: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -5,15 +5,42 @@ flag, so a text is scanned once per flag inside whole-stage code."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import rules as R
 
 
+def _simple_words(pattern: str) -> list[str]:
+    """The words of a pattern that stands for whole words only, else none."""
+    m = re.fullmatch(r"_\(?([a-z0-9|]+)\)?_", pattern)
+    return m[1].split("|") if m else []
+
+
+def _core(pattern: str) -> str:
+    """The longest literal that every match of a pattern holds, '' if none."""
+    bare = re.sub(r"\([^)]*\)\??|\[[^\]]*\][*+?]?|\\.[*+?]?|.[*?]", " ", pattern)
+    return max(re.findall(r"[a-z]{2,}", bare), key=len, default="")
+
+
 def matches(text: Column, *patterns: str) -> Column:
-    """Whether the lower-case text holds one of the bordered patterns."""
-    return F.coalesce(text, F.lit("")).rlike("|".join(f"(?:{R.bordered(p)})" for p in patterns))
+    """Whether the lower-case text holds one of the bordered patterns.
+
+    Patterns that are whole words are looked up in the text's set of words, which
+    is made once; others are searched only where their literal core occurs."""
+    t = F.coalesce(text, F.lit(""))
+    words = sorted({w for p in patterns for w in _simple_words(p)})
+    out = F.arrays_overlap(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.array(*[F.lit(w) for w in words])) if words else None
+    for p in patterns:
+        if _simple_words(p):
+            continue
+        hit = t.rlike(R.bordered(p))
+        if core := _core(p):
+            hit = F.contains(t, F.lit(core)) & hit
+        out = hit if out is None else out | hit
+    return out
 
 
 def license_name(text: Column) -> Column:

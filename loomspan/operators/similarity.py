@@ -76,11 +76,11 @@ def candidates(f: DataFrame, least: float, weights: dict[str, float]) -> DataFra
     need = least - weights["name"]
     if need <= 0:  # a name alone may be enough: every pair is a candidate
         return f.alias("a").join(f.alias("b"), F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    both = weights["summary"] + weights["caps"]
-    # need <= ws*s + wc*c, so s >= need/(2 ws) or c >= need/(2 wc); the larger bound of
-    # splitting need by weight is need/both for each
-    t = need / both - 1e-6
-    out = set_candidates(f, "words", t).union(set_candidates(f, "caps", t))
+    # need <= ws*s + wc*c, so ws*s >= 0.9*need or wc*c >= 0.1*need.  Summaries have
+    # common words and get the strict part; capability sets are small and rare.
+    strict = 0.9 * need / weights["summary"] - 1e-6
+    loose = 0.1 * need / weights["caps"] - 1e-6
+    out = set_candidates(f, "words", strict).union(set_candidates(f, "caps", loose)) if strict <= 1 else set_candidates(f, "caps", loose)
     return out.union(equal_candidates(f, "hash")).union(equal_candidates(f, "source")).distinct()
 
 
@@ -104,8 +104,12 @@ def classify(score: Column) -> Column:
     return out
 
 
-def score_pairs(f: DataFrame, pairs: DataFrame, weights: dict[str, float] | None = None, name_score=ratio) -> DataFrame:
-    """(a, b, name, summary, caps, content, source, overall, class) of pairs(x, y)."""
+def score_pairs(f: DataFrame, pairs: DataFrame, weights: dict[str, float] | None = None, name_score=ratio, least: float | None = None) -> DataFrame:
+    """(a, b, name, summary, caps, content, source, overall, class) of pairs(x, y).
+
+    With `least`, the four built-in dimensions come first, and the name is scored
+    only where it can still lift the pair to `least`: a name's score is at most
+    twice the shorter length over both lengths."""
     w = weights or WEIGHTS
     a = f.select(*[F.col(c).alias(f"a_{c}") for c in f.columns])
     b = f.select(*[F.col(c).alias(f"b_{c}") for c in f.columns])
@@ -114,22 +118,29 @@ def score_pairs(f: DataFrame, pairs: DataFrame, weights: dict[str, float] | None
     d = j.select(
         F.col("x").alias("a"),
         F.col("y").alias("b"),
-        name_score(F.col("a_name_n"), F.col("b_name_n")).alias("name"),
+        "a_name_n",
+        "b_name_n",
         jaccard(F.col("a_words"), F.col("b_words")).alias("summary"),
         jaccard(F.col("a_caps"), F.col("b_caps")).alias("caps"),
         F.coalesce(same("hash"), F.lit(0.0)).alias("content"),
         same("source").alias("source"),
     )
+    rest = w["summary"] * F.col("summary") + w["caps"] * F.col("caps") + w["content"] * F.col("content") + w["source"] * F.col("source")
+    if least is not None:
+        la, lb = F.length("a_name_n"), F.length("b_name_n")
+        bound = F.when(la + lb == 0, F.lit(0.0)).otherwise(2 * F.least(la, lb) / (la + lb))
+        d = d.where((rest + w["name"] * bound >= least - 1e-9) | (F.col("content") == 1) | (F.col("source") == 1))
+    d = d.withColumn("name", name_score(F.col("a_name_n"), F.col("b_name_n")))
     total = w["name"] * F.col("name") + w["summary"] * F.col("summary") + w["caps"] * F.col("caps") + w["content"] * F.col("content") + w["source"] * F.col("source")
     total = F.when(F.col("content") == 1, F.greatest(total, F.lit(0.99))).otherwise(total)
     total = F.when((F.col("source") == 1) & (F.col("name") > 0.7), F.greatest(total, F.lit(0.90))).otherwise(total)
-    return d.withColumn("overall", total).withColumn("class", classify(F.col("overall")))
+    return d.select("a", "b", "name", "summary", "caps", "content", "source", total.alias("overall")).withColumn("class", classify(F.col("overall")))
 
 
 def detect_duplicates(f: DataFrame, least: float = 0.40, weights: dict[str, float] | None = None, name_score=ratio) -> DataFrame:
     """All pairs with overall >= least."""
     w = weights or WEIGHTS
-    return score_pairs(f, candidates(f, least, w), w, name_score).where(F.col("overall") >= least)
+    return score_pairs(f, candidates(f, least, w), w, name_score, least).where(F.col("overall") >= least)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
