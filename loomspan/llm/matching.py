@@ -188,7 +188,8 @@ def match_names(names: DataFrame, reference: DataFrame, edits: int = 2, shard_en
     reference rows go to every task; beyond that the reference is split into
     shards of that size and the shards' winners are merged."""
     # few bytes but much work per name: spread by number, which AQE keeps
-    asked = names.select("name").distinct().repartition(shuffle_width(names.sparkSession), "name")
+    # (by another expression than distinct's, or the exchange is dropped as redundant)
+    asked = names.select("name").distinct().repartition(shuffle_width(names.sparkSession), F.xxhash64("name"))
     ref = reference.select("canonical", "aliases").where("canonical IS NOT NULL")
     total = ref.count()
     out = "name string, d int, canonical string"
