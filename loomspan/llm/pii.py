@@ -45,7 +45,7 @@ _SPELLED = re.compile(
     rf"(?<![\w.+@-])[A-Za-z0-9][\w.+-]*(?:{_DOT}[\w+-]+)*(?:(?: ?[\[({{] ?at ?[\])}}] ?)[\w-]+(?:(?:{_DOT}|\.)[\w-]+)*(?:{_DOT}|\.)[A-Za-z]{{2,24}}| at [\w-]+(?:{_DOT}[\w-]+)*{_DOT}[A-Za-z]{{2,24}}|@[\w-]+(?:(?:{_DOT}|\.)[\w-]+)*{_DOT}[A-Za-z]{{2,24}})(?![\w@])",
     re.I | re.A,
 )
-_NUMBER = re.compile(r"(?<![\w@./:+#$€-])(?:[+(]\d[\d ()./-]{5,22}\d|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d[\d ()./-]{5,22}\d(?:[ -]?[A-Z])?|\d{7,15}[A-Z]?|\d{2}[A-Z]{2}\d{5}|[A-Z]\d{6,9}(?:-?[A-Z])?|(?=[A-Z0-9]*[A-Z])(?=(?:[A-Z]*\d){4})[A-Z0-9]{8,12})(?![\w]|[.:/-]\d|:\d)")
+_NUMBER = re.compile(r"(?<![\w@./:+#$€-])(?:[+(]\d(?:[\d ()/-]|\.(?=\d)){5,22}\d|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d(?:[\d ()/-]|\.(?=\d)){5,22}\d(?:[ -]?[A-Z])?|\d{7,15}[A-Z]?|\d{2}[A-Z]{2}\d{5}|[A-Z]\d{6,9}(?:-?[A-Z])?|(?=[A-Z0-9]*[A-Z])(?=(?:[A-Z]*\d){4})[A-Z0-9]{8,12})(?![\w]|[.:/-]\d|:\d)")
 _STREET = {
     "en": rf"\d{{1,5}}[a-z]? (?:(?!(?:{'|'.join(UNITS)})\b)(?:{_CAP}|&) )*(?!(?:{'|'.join(UNITS)})\b){_CAP}(?:,? (?:{'|'.join(UNITS)})\.? ?\w+)?(?:, {_CAP}(?: {_CAP})* \d{{4,6}})?",
     "fr": rf"\d{{1,4}}(?: (?:bis|ter|quater))?,? (?:{'|'.join(STREET_FR)}) (?:(?:du|des|de la|de|aux|au|à la|d['’]|l['’]|le|la|les) ?)?(?:{_CAP} ?)+(?<! )(?:, \d{{5}} {_CAP}(?:[ -](?:(?:sur|en|la|le|les|du|de|des)[ -])?{_CAP})*)?",
@@ -234,7 +234,7 @@ def find_personal_data(documents: DataFrame, hints: DataFrame) -> DataFrame:
         .when(F.col("grp") == "number", (s >= 0.3) | F.col("kind").isNotNull())
         .otherwise((F.col("kind").isNotNull() & F.col("a").isin("fr")) | (s >= 0.3))
     )
-    rank = s + F.coalesce("votes", F.lit(0)) * 0.2 + F.when(F.col("grp") == "address", 2.0).otherwise(0.0) + F.when(by_parts, 1.0).otherwise(0.0) + F.when(F.col("kind").isNotNull(), 0.3).otherwise(0.0) + F.length("found") / 10_000.0
+    rank = s + F.coalesce("votes", F.lit(0)) * 0.2 + F.when(F.col("grp") == "address", 2.0).otherwise(0.0) + F.when(by_parts, F.when(F.col("ga").isNotNull(), 1.3).otherwise(1.0)).otherwise(0.0) + F.when(F.col("kind").isNotNull(), 0.3).otherwise(0.0) + F.length("found") / 10_000.0
     kind = F.when(F.col("grp") == "number", F.coalesce("by", "kind")).otherwise(F.col("grp"))
     kept = scored.where(ok).select("doc_id", kind.alias("kind"), "start", "stop", "found", s.alias("score"), rank.alias("rank"))
     mail = occ.where("grp = 'email'").select("doc_id", "kind", "start", "stop", "found", F.lit(1.0).alias("score"), F.lit(9.0).alias("rank"))
