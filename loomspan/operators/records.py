@@ -38,9 +38,22 @@ def children(df: DataFrame, value: str, out: str, most: int | None = None) -> Da
     return g if most is None else g.withColumn(out, F.slice(out, 1, most))
 
 
-def numbered(df: DataFrame, key: str, order: list[Column], out: str = "n") -> DataFrame:
-    """Rows of each key numbered from 1."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def numbered(df: DataFrame, key: str, order: list[Column], out: str = "n", block: Column | None = None) -> DataFrame:
+    """Rows of each key numbered from 1 in the given order.
+
+    With `block`, a whole number that does not fall along the order (such as the
+    quarter of a time; null is least), rows are numbered inside (key, block) and
+    shifted by the rows of the earlier blocks, so one key is spread over as many
+    tasks as it has blocks."""
+    if block is None:
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    b = df.withColumn("__block", F.coalesce(block.cast("long"), F.lit(-(2**62))))
+    before = Window.partitionBy("__key").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = b.groupBy(F.col(key).alias("__key"), "__block").agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__key", F.col("__block").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(key, "__block").orderBy(*order))
+    j = b.withColumn("__i", inside).join(sizes, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__block") == F.col("__b")))
+    return j.withColumn(out, (F.col("__i") + F.col("__before")).cast("int")).drop("__block", "__key", "__b", "__before", "__i")
 
 
 def category_of(path: Column | str) -> Column:

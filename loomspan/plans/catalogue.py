@@ -70,7 +70,8 @@ def latest_version(spark, sf):
 
 def version_numbering(spark, sf):
     v = table(spark, sf, "versions", "id", "skill_id", "imported_at").where("skill_id IS NOT NULL")
-    return numbered(v, "skill_id", [F.col("imported_at").asc_nulls_first(), F.col("id")]).select("id", "skill_id", "n")
+    quarter = F.floor(F.unix_micros(F.col("imported_at").cast("timestamp")) / F.lit(90 * 86_400_000_000))
+    return numbered(v, "skill_id", [F.col("imported_at").asc_nulls_first(), F.col("id")], block=quarter).select("id", "skill_id", "n")
 
 
 def point_lookup(spark, sf):

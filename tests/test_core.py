@@ -198,3 +198,18 @@ def test_exports(spark, tmp_path):
     E.write_markdown(r, str(tmp_path / "m"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["capabilities"] == "a|b"
     assert spark.read.json(str(tmp_path / "j")).first()["schema_version"] == "3.0"
+
+
+def test_numbering_in_blocks_equals_one_window(spark):
+    from loomspan.operators.records import numbered
+
+    d = spark.createDataFrame([("a", i * 37 % 101, i) for i in range(200)] + [("b", None, 1), ("b", 5, 2), ("c", None, 3)], "k string, t int, id int")
+    o = [F.col("t").asc_nulls_first(), F.col("id")]
+    assert rows(numbered(d, "k", o)) == rows(numbered(d, "k", o, block=F.floor(F.col("t") / 10)))
+
+
+def test_broadcast_only_if_small(spark):
+    from loomspan.session import broadcast_if_small
+
+    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hint(broadcast_if_small(spark.range(10), 10)) and not hint(broadcast_if_small(spark.range(11), 10))
