@@ -145,7 +145,7 @@ def candidates(text: str, given: frozenset[str], family: frozenset[str]) -> Iter
             yield "name", "name" if seed and g not in family else None, m.start(), m.start() + len(s), s, f"{g}|{f}", g, f, _side(text, m.start(), m.start() + len(s))
 
 
-_FOUND = "doc_id long, grp string, kind string, start int, stop int, found string, inst string, a string, b string, pats array<string>"
+_FOUND = "doc_id long, text_id long, grp string, kind string, start int, stop int, found string, inst string, a string, b string, pats array<string>"
 
 
 def _occurrences(documents: DataFrame, hints: DataFrame) -> DataFrame:
@@ -157,11 +157,11 @@ def _occurrences(documents: DataFrame, hints: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(i, *c) for i, t in zip(b["doc_id"], b["text"]) if t for c in candidates(t, given, family)]
+            out = [(i, h, *c) for i, h, t in zip(b["doc_id"], b["text_id"], b["text"]) if t for c in candidates(t, given, family)]
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "grp", "kind", "start", "stop", "found", "inst", "a", "b", "pats"])
+                yield pd.DataFrame(out, columns=["doc_id", "text_id", "grp", "kind", "start", "stop", "found", "inst", "a", "b", "pats"])
 
-    return documents.select(documents["doc_id"].cast("long").alias("doc_id"), "text").where("text IS NOT NULL").mapInPandas(run, _FOUND)
+    return documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), "text").where("text IS NOT NULL").mapInPandas(run, _FOUND)
 
 
 def _trusted(edges: DataFrame, totals: DataFrame, known: DataFrame, least: int, share: float) -> DataFrame:
@@ -219,20 +219,24 @@ def find_personal_data(documents: DataFrame, hints: DataFrame) -> DataFrame:
     best = hits.groupBy("oid").agg(F.max("score").alias("score"), F.max_by("kind", "score").alias("by"), F.count("*").alias("votes"))
     best = best.withColumn("votes", F.least("votes", F.lit(4)))
     scored = cut_lineage(rest.join(best, "oid", "left"))
-    solid = scored.groupBy("grp", "inst").agg(F.count("*").alias("all_n"), F.sum(F.when(F.col("score") >= 0.3, 1).otherwise(0)).alias("good_n"))
-    hollow = solid.where("all_n >= 4 AND good_n < 0.25 * all_n").select("grp", "inst")
-    scored = cut_lineage(scored.join(broadcast_if_small(hollow), ["grp", "inst"], "left_anti"))
+    # equal texts are one, so a place counts once in all copies of a text
+    places = scored.select("grp", "inst", "text_id", "start", "score").distinct()
+    solid = places.groupBy("grp", "inst").agg(F.count("*").alias("all_n"), F.sum(F.when(F.col("score") >= 0.3, 1).otherwise(0)).alias("good_n"))
+    hollow = solid.where("all_n >= 4 AND good_n < 0.25 * all_n").select("grp", "inst", F.lit(True).alias("hollow"))
+    scored = cut_lineage(scored.join(broadcast_if_small(hollow), ["grp", "inst"], "left"))
     # a name is known by its parts if both stand in trusted names with others
-    named = scored.where("grp = 'name' AND score >= 0.5").select("a", "b").distinct()
+    named = scored.where("grp = 'name' AND score >= 0.5 AND hollow IS NULL").select("a", "b").distinct()
     lex_g = named.groupBy("a").agg(F.count("*").alias("n")).where("n >= 2 AND length(a) > 2").select("a", F.lit(1).alias("ga"))
     lex_f = named.groupBy("b").agg(F.count("*").alias("n")).where("n >= 2").select("b", F.lit(1).alias("fb"))
     scored = scored.join(broadcast_if_small(lex_g), "a", "left").join(broadcast_if_small(lex_f), "b", "left")
     s = F.coalesce("score", F.lit(0.0))
     by_parts = (F.col("grp") == "name") & F.col("fb").isNotNull() & (F.col("ga").isNotNull() | ((F.length("a") == 2) & (s > 0)))
+    # what form, seed or parts decide needs no trusted place
+    full = F.col("hollow").isNull()
     ok = (
-        F.when(F.col("grp") == "name", (s >= 0.5) | by_parts | (F.col("kind").isNotNull() & (s >= 0.3)))
-        .when(F.col("grp") == "number", (s >= 0.3) | F.col("kind").isNotNull())
-        .otherwise((F.col("kind").isNotNull() & F.col("a").isin("fr")) | (s >= 0.3))
+        F.when(F.col("grp") == "name", ((s >= 0.5) & full) | by_parts | (F.col("kind").isNotNull() & (s >= 0.3)))
+        .when(F.col("grp") == "number", ((s >= 0.3) & full) | F.col("kind").isNotNull())
+        .otherwise((F.col("kind").isNotNull() & F.col("a").isin("fr")) | ((s >= 0.3) & full))
     )
     rank = s + F.coalesce("votes", F.lit(0)) * 0.2 + F.when(F.col("grp") == "address", 2.0).otherwise(0.0) + F.when(by_parts, F.when(F.col("ga").isNotNull(), 1.3).otherwise(1.0)).otherwise(0.0) + F.when(F.col("kind").isNotNull(), 0.3).otherwise(0.0) + F.length("found") / 10_000.0
     kind = F.when(F.col("grp") == "number", F.coalesce("by", "kind")).otherwise(F.col("grp"))

@@ -60,3 +60,19 @@ def test_redaction(docs, hints):
 def test_empty(docs, hints):
     assert personal_data(docs.where("false"), hints).count() == 0
     assert personal_data(docs.where("doc_id >= 900"), hints.where("false")).count() >= 0
+
+
+def test_copies_keep_what_form_decides(spark, hints):
+    phone = [f"Zeq {i} wub +44 20 7946 {1000 + i} vax {i} jorn." for i in range(2)]
+    data = [(i, phone[0]) for i in range(6)] + [(6, phone[1])] + [(10 + i, f"Ik {w} 123-45-6789 {w} ol.") for i, w in enumerate(("ab", "cd", "ef", "gh", "ij"))]
+    got = rows(personal_data(spark.createDataFrame(data, "doc_id long, text string"), hints))
+    assert [i for i, k, f in got if k == "phone" and f == "+44 20 7946 1000"] == list(range(6))
+    assert sorted(i for i, k, f in got if k == "id_number") == list(range(10, 15))
+
+
+def test_copies_of_a_text_are_one_place(spark, hints):
+    line = "Paired with {} on the rollback."
+    names = [f"{g} {f}" for g in GIVEN for f in FAMILY] + ["Orwen Tasker"]
+    data = [(i, line.format(n)) for i, n in enumerate(names)] + [(100 + i, "Blue zorp Orwen Tasker quib nal.") for i in range(12)]
+    got = rows(personal_data(spark.createDataFrame(data, "doc_id long, text string"), hints))
+    assert (len(names) - 1, "name", "Orwen Tasker") in got
