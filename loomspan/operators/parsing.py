@@ -21,11 +21,11 @@ def title(text: Column) -> Column:
     return F.trim(F.regexp_extract(body(text), r"(?m)^# +([^\n]+)", 1))
 
 
-def first_paragraph(text: Column, most: int = 200) -> Column:
-    """The first paragraph that is no heading, list, quote or code."""
+def first_paragraph(text: Column) -> Column:
+    """The first paragraph that is no heading, list, quote or code, whole."""
     parts = F.split(body(text), r"\n[ \t]*\n")
     plain = F.filter(parts, lambda p: (F.trim(p) != "") & ~F.trim(p).rlike(r"^(#|[-*+>|]|```|~~~|<|\d+[.)])"))
-    return F.substring(F.trim(F.coalesce(F.get(plain, F.lit(0)), F.lit(""))), 1, most)
+    return F.trim(F.coalesce(F.get(plain, F.lit(0)), F.lit("")))
 
 
 def sections(text: Column) -> Column:
@@ -109,7 +109,7 @@ def parse_files(docs: DataFrame, id_col: str, path: str, text: str) -> DataFrame
         F.col(id_col).alias("id"),
         file_format(p, t).alias("format"),
         title(t).alias("name"),
-        first_paragraph(t).alias("summary"),
+        F.when(file_format(p, t) == "skill", first_paragraph(t)).otherwise(F.substring(first_paragraph(t), 1, 200)).alias("summary"),
         F.transform(sections(t), lambda s: s["heading"]).alias("headings"),
         F.slice(bullets(body(t)), 1, 20).alias("capabilities"),
         technology_tags(t).alias("tags"),

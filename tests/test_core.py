@@ -213,3 +213,10 @@ def test_broadcast_only_if_small(spark):
 
     hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
     assert hint(broadcast_if_small(spark.range(10), 10)) and not hint(broadcast_if_small(spark.range(11), 10))
+
+
+def test_summary_is_cut_for_agents_and_readme_only(spark):
+    para = "A long sentence of the first paragraph. " * 8
+    d = spark.createDataFrame([(i, p, f"# T\n\n{para}\n\nmore") for i, p in enumerate(("a/SKILL.md", "a/AGENTS.md", "README.md"))], "id long, path string, text string")
+    got = {r["id"]: r["summary"] for r in P.parse_files(d, "id", "path", "text").collect()}
+    assert got == {0: para.strip(), 1: para[:200], 2: para[:200]}
