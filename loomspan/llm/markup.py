@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.session import broadcast_if_small, cut_lineage
@@ -382,37 +382,45 @@ def parse_page(raw: str | None, path: str | None = None) -> list[Block]:
 
 
 def page_blocks(pages: DataFrame, id_col: str, host_col: str, text_col: str, path_col: str) -> DataFrame:
-    """(id, host, seq, kind, element, text, hash, once) of every subtree; `once`
-    marks the first of equal subtrees of a page."""
+    """(id, host, page, seq, kind, element, text, hash, once) of every subtree;
+    `page` is a hash of the whole text, `once` marks the first of equal subtrees
+    of a page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for i, host, raw, path in zip(b["id"], b["host"], b["raw"], b["path"]):
                 seen = set()
+                page = int.from_bytes(blake2b((raw or "").encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
                 for n, (kind, element, text) in enumerate(parse_page(raw, path)):
                     h = int.from_bytes(blake2b(f"{kind}\x00{element}\x00{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                    out.append((i, host, n, kind, element, text, h, h not in seen))
+                    out.append((i, host, page, n, kind, element, text, h, h not in seen))
                     seen.add(h)
             if out:
-                yield pd.DataFrame(out, columns=["id", "host", "seq", "kind", "element", "text", "hash", "once"])
+                yield pd.DataFrame(out, columns=["id", "host", "page", "seq", "kind", "element", "text", "hash", "once"])
 
     p = pages.select(pages[id_col].cast("long").alias("id"), pages[host_col].alias("host"), pages[text_col].alias("raw"), pages[path_col].alias("path"))
-    return p.mapInPandas(run, "id long, host string, seq int, kind string, element string, text string, hash long, once boolean")
+    return p.mapInPandas(run, "id long, host string, page long, seq int, kind string, element string, text string, hash long, once boolean")
 
 
 def mark_templates(blocks: DataFrame, least_pages: int = 10, share: float = 0.3, least_chars: int = 20) -> DataFrame:
-    """blocks + `template`: subtrees of at least `least_chars` characters that
-    stand on at least `least_pages` pages and `share` of the pages of a host.
-
-    Pages are counted once per subtree before the shuffle, so a host that holds a
-    third of all pages is pre-aggregated; a null host has no template."""
-    once = blocks.where("once AND host IS NOT NULL AND kind IS NOT NULL").where(F.length("text") >= least_chars)
-    per = once.groupBy("host", "hash").agg(F.count("*").alias("pages"))
-    hosts = blocks.where("seq = 0 AND host IS NOT NULL").groupBy("host").agg(F.count("*").alias("all_pages"))
-    often = per.where(F.col("pages") >= least_pages).join(broadcast_if_small(hosts), "host").where(F.col("pages") >= F.lit(share) * F.col("all_pages"))
-    often = often.select("host", "hash", F.lit(True).alias("template"))
-    return blocks.join(broadcast_if_small(often), ["host", "hash"], "left").withColumn("template", F.coalesce("template", F.lit(False)))
+    """blocks + `template`: runs of subtrees of together at least `least_chars`
+    characters that each stand on at least `least_pages` pages and `share` of the
+    host's pages with markup of their kind; so the short items of a menu count as
+    the menu.
+
+    Pages count once for all copies of a text, and are combined before the shuffle,
+    so a host that holds a third of all pages is pre-aggregated; a null host has no
+    template."""
+    once = blocks.where("once AND host IS NOT NULL AND kind IS NOT NULL")
+    per = once.where("text <> ''").select("host", "kind", "hash", "page").distinct().groupBy("host", "kind", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    hosts = once.select("host", "kind", "page").distinct().groupBy("host", "kind").agg(F.count("*").alias("all_pages"))
+    often = per.join(broadcast_if_small(hosts), ["host", "kind"]).where(F.col("pages") >= F.lit(share) * F.col("all_pages"))
+    often = often.select("host", "hash", F.lit(True).alias("often"))
+    b = blocks.join(broadcast_if_small(often), ["host", "hash"], "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    b = b.withColumn("run", F.count_if(~F.col("often") & (F.col("text") != "")).over(Window.partitionBy("id").orderBy("seq")))
+    chars = F.sum(F.when(F.col("often"), F.length("text"))).over(Window.partitionBy("id", "run"))
+    return b.withColumn("template", F.col("often") & (chars >= least_chars)).drop("often", "run")
 
 
 def markup(pages: DataFrame, id_col: str = "id", host_col: str = "source_repo", text_col: str = "raw_content", path_col: str = "source_path") -> tuple[DataFrame, DataFrame]:
@@ -422,7 +430,7 @@ def markup(pages: DataFrame, id_col: str = "id", host_col: str = "source_repo",
     blocks = cut_lineage(page_blocks(pages, id_col, host_col, text_col, path_col))
     marked = mark_templates(blocks)
     # all subtrees count, the template's too
-    n = marked.where("kind IS NOT NULL").groupBy("id", "kind").agg(
+    n = blocks.where("kind IS NOT NULL").groupBy("id", "kind").agg(
         *[F.sum(F.when(F.col("element") == e, 1).otherwise(0)).cast("int").alias(e) for e in ("heading", "list_item", "code_block", "formula")]
     )
     each = F.array(*[F.struct(F.lit(e).alias("element"), F.col(e).alias("n")) for e in ("heading", "list_item", "code_block", "formula")])

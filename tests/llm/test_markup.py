@@ -61,3 +61,15 @@ def test_found_and_clean(spark):
     text = dict(rows(clean))
     assert "every page" not in text[3] and "# Page 3" in text[3] and "Body 3" in text[3] and "every page" in text[50]
     assert markup(d.where("false"))[0].count() == 0
+
+
+def test_template_of_a_mixed_host(spark):
+    menu = "<ul><li>Home</li><li>Docs</li><li>Source</li><li>Contact</li></ul>"
+    data = [(i, f"{menu}\n<h1>Page {i}</h1>\n<h2>Usage</h2>\n<p>Body {i}</p>\n<footer>All rights of this site belong to the site</footer>", "a/p.html") for i in range(12)]
+    data += [(100 + i, f"# Note {i}\n\nplain markdown {i}", "a/SKILL.md") for i in range(60)] + [(200 + i, f"x = {i}", "a/run.py") for i in range(60)]
+    data += [(300 + i, "<h1>One page that is copied whole</h1>\n<p>It has a body of its own</p>", "a/p.html") for i in range(20)]
+    d = spark.createDataFrame([(i, "h", p, t) for i, t, p in data], "id long, source_repo string, source_path string, raw_content string")
+    text = dict(rows(markup(d)[1]))
+    assert text[3] == "# Page 3\n\n# Usage\n\nBody 3"
+    assert text[100] == "# Note 0\n\nplain markdown 0" and text[205] == "x = 5"
+    assert text[305] == "# One page that is copied whole\n\nIt has a body of its own"
