@@ -77,3 +77,49 @@ def test_status(spark):
         ("file", "1", "MIT", "inherited"), ("file", "2", "MIT", "stated"), ("file", "3", "ISC | MIT", "conflict"), ("file", "4", "ISC", "stated"), ("file", "5", "unknown", "unknown"), ("file", "6", "unknown", "unknown"), ("file", "7", "MIT", "stated"),
         ("repository", "a", "MIT", "stated"), ("repository", "b", "ISC | MIT", "conflict"), ("repository", "c", "unknown", "unknown"),
     ], key=repr)
+
+
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute'
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n"
+BSD2 = '\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'
+BSD3 = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_licence_texts_without_a_name():
+    commented = "\n".join(f"// {line}" for line in MIT.replace(", ", ",\n").split("\n"))
+    for t, want in {
+        MIT: {"MIT"},
+        commented: {"MIT"},
+        "x = 1\n" * 1000 + MIT.replace("free of charge", "without any charge").upper(): {"MIT"},
+        MIT[:70]: set(),
+        BSD: set(),
+        BSD + BSD2: {"BSD-2-Clause"},
+        BSD + BSD2.replace("\n\n", BSD3 + "\n\n"): {"BSD-3-Clause"},
+        BSD + BSD3: {"BSD-3-Clause"},
+        "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION": {"Apache-2.0"},
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": {"AGPL-3.0"},
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish": {"Unlicense"},
+    }.items():
+        assert file_statements(t, T) == want, t
+
+
+def test_reworded_headers():
+    for t, want in {
+        "This tool is made available under the MIT License.": {"MIT"},
+        "Covered by the Apache License, Version 2.0.": {"Apache-2.0"},
+        "# Licensed under the Apache License,\n# Version 2.0\nx = 1": {"Apache-2.0"},
+        "Provided under the terms of MPL 2.0, which " + "means much " * 200: {"MPL-2.0"},
+        "Subject to the conditions of the ISC licence.": {"ISC"},
+        "You may copy this skill under version 2 of the GNU General Public License.": {"GPL-2.0"},
+        "This is not licensed under the MIT License.": set(),
+        "Licensed under the Apache License, Version 1.1.": set(),
+        "The GPL-3.0 and the MIT License are compared under load.": set(),
+        "-- Licensed under either of GNU GPLv3 or the Mozilla Public License, v\n-- 2.0.\nx": {"GPL-3.0 OR MPL-2.0"},
+    }.items():
+        assert file_statements(t, T) == want, t
+
+
+def test_trees_decide_alone():
+    t = Templates(NAMES)
+    assert t.nearest("MIT") == "MIT" and t.nearest("Mozilla Public Licens, v. 2.0") == "MPL-2.0" and t.nearest("nothing of the kind") is None
+    assert t.decided == {0: 1, 1: 1}
