@@ -106,6 +106,12 @@ def json_value(c: Column | str) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", inner).otherwise(v)
 
 
+def json_string(c: Column | str) -> Column:
+    """The text of a JSON string, or of a value that is no JSON; else null."""
+    v = F.try_parse_json(_c(c))
+    return F.when(v.isNull(), _c(c)).when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
 def json_text(c: Column | str, path: str) -> Column:
     return F.try_variant_get(json_value(c), path, "string")
 

@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions import rules as R
-from loomspan.operators.scoring import matches
+from loomspan.functions.text import json_value
+
+
+#: The words by which a text names a runtime.
+RUNTIME_WORDS = {name: p.removeprefix(r"\b(").removesuffix(r")\b").replace("python3?", "python|python3").split("|") for name, p in R.RUNTIMES.items()}
 
 
 def body(text: Column) -> Column:
@@ -88,17 +92,87 @@ def tools(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     one = sorted(x for x in R.TOOLS if x.isalnum())
     words = F.array_distinct(F.regexp_extract_all(t, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    more = [F.when(F.contains(t, F.lit(x)) & matches(t, f"_{x}_"), F.lit(x)) for x in sorted(R.TOOLS) if not x.isalnum()]
+    more = [F.when(F.contains(t, F.lit(x)) & t.rlike(rf"(?U)\b{x}\b"), F.lit(x)) for x in sorted(R.TOOLS) if not x.isalnum()]
     return F.array_sort(F.concat(F.array_intersect(words, F.array(*[F.lit(x) for x in one])), F.array_compact(F.array(*more))))
 
 
 def secrets(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, kind, preview, position) of every match of the secret forms; the
-    position counts characters from 0, the preview is 40 characters."""
-    each = F.array(*[F.struct(F.lit(i).alias("kind"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hits")) for i, p in enumerate(R.SECRETS)])
-    d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), text, F.explode(each).alias("e"))
-    d = d.select("id", text, F.col("e.kind").alias("kind"), F.explode("e.hits").alias("hit")).distinct()
-    return d.select("id", "kind", F.concat(F.substring("hit", 1, 40), F.lit("...")).alias("preview"), (F.instr(F.col(text), F.col("hit")) - 1).alias("position"))
+    """(id, kind, preview, position) of every match of the secret forms, repeats
+    too; the position counts characters from 0, the preview is 40 characters.
+
+    A match stands behind what is between the matches before it, so positions
+    follow from the pieces and the matches; nothing leaves the JVM."""
+
+    def places(i: int, p: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+        size = lambda a: F.transform(a, F.length)
+        total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+        pieces = size(F.split(text, p, -1))
+        each = F.transform(hits, lambda h, k: F.struct(F.lit(i).alias("kind"), F.concat(F.substring(h, 1, 40), F.lit("...")).alias("preview"), (total(F.slice(pieces, 1, k + 1)) + total(F.slice(size(hits), 1, k))).alias("position")))
+        return F.when(F.col(text).rlike(p), each).otherwise(F.array().cast("array<struct<kind:int,preview:string,position:int>>"))
+
+    d = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.concat(*[places(i, p) for i, p in enumerate(R.SECRETS)])).alias("e"))
+    return d.select("id", "e.*")
+
+
+def api_keys(text: Column) -> Column:
+    """Distinct services whose key, token or secret a text names as a variable."""
+    rx = r"\b(?:" + "|".join(R.SERVICES) + r")(?:_[A-Z0-9]+)*_(?:KEY|TOKEN|SECRET|KEY_ID|PASSWORD|CREDENTIALS)\b"
+    first = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rx), F.lit(0)), lambda x: F.substring_index(x, "_", 1)))
+    names = F.create_map(*[F.lit(x) for kv in R.SERVICES.items() for x in kv])
+    return F.array_sort(F.array_distinct(F.transform(first, lambda x: F.concat(names[x], F.lit(" API")))))
+
+
+#: How sure a find of each type is.
+CONFIDENCE = {"package": 0.95, "api": 0.90, "runtime": 0.85, "env_var": 0.80, "tool": 0.70}
+
+
+def dependencies_in(docs: DataFrame, id_col: str, text: str, min_confidence: float = 0.0, variables: bool = True) -> DataFrame:
+    """(id, type, name, ecosystem, confidence) of all that a text needs: packages
+    of install commands, services, runtimes, tools and (if `variables`) other
+    variables; distinct.  Null texts and those below ten characters need nothing."""
+    d = docs.where(F.length(F.trim(text)) >= 10)
+    none = F.lit(None).cast("string")
+    one = lambda kind, names: F.transform(names, lambda n: F.struct(F.lit(kind).alias("type"), n.alias("name")))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    runtimes = F.array_compact(F.array(*[F.when(F.arrays_overlap("__words", F.array(*[F.lit(w) for w in ws])), F.lit(r)) for r, ws in RUNTIME_WORDS.items()]))
+    found = [one("api", api_keys(F.col(text))), one("runtime", runtimes), one("tool", tools(F.col(text)))]
+    if variables:
+        found.append(one("env_var", env_vars(F.col(text))))
+    e = d.withColumn("__words", words).select(F.col(id_col).alias("id"), F.explode(F.concat(*found)).alias("f")).select("id", "f.type", "f.name", none.alias("ecosystem"))
+    e = e.unionByName(packages(d, id_col, text).select("id", F.lit("package").alias("type"), F.col("package").alias("name"), "ecosystem"))
+    sure = F.create_map(*[F.lit(x) for kv in CONFIDENCE.items() for x in kv])
+    return e.distinct().withColumn("confidence", sure[F.col("type")]).where(F.col("confidence") >= min_confidence)
+
+
+def declared_dependencies(docs: DataFrame, id_col: str, requirements: str) -> DataFrame:
+    """The same columns for what the requirements JSON lists; an element is an
+    object with a name or a plain string."""
+    v = json_value(requirements)
+    kinds = {"tools": "tool", "apis": "api", "packages": "package", "env_vars": "env_var", "runtimes": "runtime"}
+
+    def listed(key: str, kind: str) -> Column:
+        elements = F.coalesce(F.try_variant_get(v, f"$.{key}", "array<variant>"), F.array().cast("array<variant>"))
+        return F.transform(elements, lambda x: F.struct(F.lit(kind).alias("type"), x.alias("x")))
+
+    each = F.concat(*[listed(k, t) for k, t in kinds.items()])
+    e = docs.select(F.col(id_col).alias("id"), F.explode(each).alias("e"))
+    name = F.when(F.schema_of_variant("e.x") == "STRING", F.try_variant_get("e.x", "$", "string")).otherwise(F.try_variant_get("e.x", "$.name", "string"))
+    return e.select("id", "e.type", name.alias("name"), F.try_variant_get("e.x", "$.ecosystem", "string").alias("ecosystem"), F.lit(1.0).alias("confidence")).where("coalesce(name, '') <> ''").distinct()
+
+
+def version_dependencies(docs: DataFrame, id_col: str, text: str, requirements: str, min_confidence: float = 0.7) -> DataFrame:
+    """Dependencies of texts and requirements with their source."""
+    t = dependencies_in(docs, id_col, text, min_confidence).withColumn("source", F.lit("text"))
+    return t.unionByName(declared_dependencies(docs, id_col, requirements).withColumn("source", F.lit("declared")))
+
+
+def dependency_record(deps: DataFrame) -> DataFrame:
+    """(id, tools[], apis[], packages[], env_vars[], runtimes[]): the dependencies
+    of each record as one row; what one record names is bounded by its own text."""
+    kinds = {"tool": "tools", "api": "apis", "package": "packages", "env_var": "env_vars", "runtime": "runtimes"}
+    one = F.struct("name", "ecosystem", "confidence", "source")
+    return deps.groupBy("id").agg(*[F.array_sort(F.collect_set(F.when(F.col("type") == t, one))).alias(k) for t, k in kinds.items()])
 
 
 def parse_files(docs: DataFrame, id_col: str, path: str, text: str) -> DataFrame:

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from loomspan.functions import rules as R
 from loomspan.functions.text import label_key
 
-#: Words too common to search for.
-COMMON = frozenset("would could should their there where which about after before between through during without again further using create build write every other these those still first great little right different small large early young important public".split())
 SIGNALS = ("task_match", "similar", "same_category", "same_ecosystem", "popular", "high_quality")
 
 
@@ -19,7 +17,7 @@ def task_keywords(task: str) -> list[str]:
     """Capabilities that the task's words ask for, and its own longer words."""
     low = task.lower()
     asked = {c for word, caps in R.TASKS.items() if word in low for c in caps}
-    return sorted(asked | {w for w in re.findall(r"[a-z]{5,}", low) if w not in COMMON})
+    return sorted(asked | {w for w in re.findall(r"[a-z]{5,}", low) if w not in R.COMMON})
 
 
 def task_match(docs: DataFrame, keywords: list[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from loomspan.operators import parsing as P
 from loomspan.operators import scoring as Q
 from loomspan.operators import taxonomy as X
 from loomspan.operators.records import category_of
+from loomspan.functions.text import json_value
+from loomspan.plans import scoring_sql as S
 from loomspan.plans.common import CV, json_sql
 from loomspan.session import table
 
@@ -20,18 +22,23 @@ def _v(spark, sf, *c):
 
 
 def license_detect(spark, sf):
-    return _v(spark, sf, "raw_content").select("id", Q.license_name(F.col("raw_content")).alias("license"))
+    return Q.with_scan(_v(spark, sf, "raw_content"), "raw_content").select("id", Q.license_name().alias("license"))
+
+
+def scored(spark, sf):
+    """All scores of every version; no table tells stars, so they are 0."""
+    v = _v(spark, sf, "source_repo", "name", "summary", "raw_content", "domain_primary", "input_format", "output_format", "runtime_requirements", "license", "imported_at").withColumn("stars", F.lit(0))
+    return Q.score_versions(v, table(spark, sf, "capabilities", "version_id_fk"), table(spark, sf, "tags", "version_id_fk"), table(spark, sf, "repositories", "id", "license"))
 
 
 def license_of(spark, sf):
-    v = _v(spark, sf, "summary", "license")
-    return v.select("id", Q.license_of(F.lit(None).cast("string"), T.json_text("license", "$.type"), F.col("summary")).alias("l")).select("id", "l.type", "l.confidence")
+    s = scored(spark, sf)
+    return s.select("id", F.col("license_type").alias("type"), F.col("license_confidence").alias("confidence"), F.col("permissions.redistributable").alias("redistributable"), F.col("permissions.requires_attribution").alias("attribution"))
 
 
 def security_flags(spark, sf):
-    v = _v(spark, sf, "summary", "raw_content").withColumn("t", F.concat_ws(" ", "summary", "raw_content"))
-    v = v.withColumn("flags", Q.security_flags(F.col("t")))
-    return v.select("id", F.array_join("flags", "|").alias("flags"), Q.risk_level(F.col("t"), F.col("flags")).alias("risk"))
+    v = Q.with_scan(_v(spark, sf, "summary", "raw_content"), "summary", "raw_content").withColumn("flags", Q.security_flags())
+    return v.select("id", F.array_join("flags", "|").alias("flags"), Q.risk_level(F.col("flags")).alias("risk"))
 
 
 def risk_level(spark, sf):
@@ -39,37 +46,51 @@ def risk_level(spark, sf):
 
 
 def quality_score(spark, sf):
-    v = _v(spark, sf, "summary", "raw_content", "domain_primary", "input_format", "output_format", "runtime_requirements", "imported_at")
-    caps = table(spark, sf, "capabilities", "version_id_fk").groupBy(F.col("version_id_fk").alias("id")).agg(F.count("*").alias("caps"))
-    tags = table(spark, sf, "tags", "version_id_fk").groupBy(F.col("version_id_fk").alias("id")).agg(F.count("*").alias("tags"))
-    v = v.join(caps, "id", "left").join(tags, "id", "left").na.fill(0, ["caps", "tags"])
-    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    deps = T.present("runtime_requirements")
-    known = lambda c: some(c) & (F.col(c) != "unknown")
-    doc = Q.documentation_score(F.col("summary"), F.col("raw_content"), F.col("caps"), known("input_format"), known("output_format"))
-    n = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
-    meta = n(some("summary"), 0.2) + n(some("domain_primary"), 0.2) + n(F.col("caps") > 0, 0.2) + n(F.col("tags") > 0, 0.2) + n(deps, 0.2)
-    v = v.withColumn("t", F.concat_ws(" ", "summary", "raw_content")).withColumn("flags", Q.security_flags(F.col("t")))
-    flags, risk = F.col("flags"), Q.risk_level(F.col("t"), F.col("flags"))
-    fresh = F.when(F.col("imported_at").isNull(), 0.3).otherwise(0.8)
-    score = Q.quality_score(doc, meta, fresh, Q.adoption_score(F.lit(0)), Q.dependency_score(deps, F.lit(False)), Q.posture_score(risk, flags))
-    return v.select("id", F.round(doc, 3).alias("documentation"), F.round(meta, 3).alias("metadata"), F.round(score, 3).alias("overall"))
+    return scored(spark, sf).select("id", "documentation", "metadata", "freshness", "adoption", "dependency", "posture", "overall")
+
+
+def scoring_summary(spark, sf):
+    return Q.scoring_summary(scored(spark, sf))
+
+
+def _signals(spark, sf):
+    """What texts and names of requirements tell about platforms."""
+    v = json_value("runtime_requirements")
+    names = lambda k: F.transform(F.coalesce(F.try_variant_get(v, f"$.{k}", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.try_variant_get(x, "$.name", "string"))
+    d = _v(spark, sf, "source_path", "summary", "raw_content", "runtime_requirements")
+    d = d.withColumn("needs", F.array_join(F.concat(names("packages"), names("tools")), " "))
+    return Q.platform_signals(d, "id", "source_path", "summary", "raw_content", "needs")
+
+
+def _text_signals(spark, sf):
+    return Q.platform_signals(_v(spark, sf, "source_path", "summary", "raw_content"), "id", "source_path", "summary", "raw_content")
 
 
 def compat_matrix(spark, sf):
-    v = _v(spark, sf, "source_path", "summary", "raw_content").withColumn("t", F.concat_ws(" ", "summary", "raw_content"))
-    return Q.agent_fit(v, "id", "source_path", "t")
+    return Q.agent_fit(_text_signals(spark, sf)).select("id", "agent", "score", "level", F.array_join("blockers", "|").alias("blockers"))
 
 
 def compat_levels(spark, sf):
     return compat_matrix(spark, sf).groupBy("agent", "level").agg(F.count("*").alias("n"))
 
 
+def compat_notes(spark, sf):
+    """Notes and enablers, with the names of requirements read as text."""
+    return Q.agent_fit(_signals(spark, sf)).select("id", "agent", F.array_join("notes", "|").alias("notes"), F.array_join("enablers", "|").alias("enablers"))
+
+
+def compat_incremental(spark, sf):
+    """Profiles of the versions that have none yet."""
+    r = Q.compatibility_records(_text_signals(spark, sf), _v(spark, sf, "compatibility"))
+    return r.select("id", "profile.invocation_type", "profile.mcp_compatible", F.size("profile.agents").alias("agents"), F.col("profile.agents")["codex"]["level"].alias("codex"))
+
+
+def compat_summary(spark, sf):
+    return Q.compatibility_summary(_text_signals(spark, sf))
+
+
 def runtime_os_detect(spark, sf):
-    t = F.concat_ws(" ", "summary", "raw_content")
-    return _v(spark, sf, "source_path", "summary", "raw_content").select(
-        "id", F.array_join(Q.found(t, R.RUNTIMES), "|").alias("runtimes"), F.array_join(Q.found(t, R.SYSTEMS), "|").alias("systems"), Q.invocation_type(F.col("source_path"), t).alias("invocation")
-    )
+    return _text_signals(spark, sf).select("id", F.array_join("runtimes", "|").alias("runtimes"), F.array_join("systems", "|").alias("systems"), "invocation")
 
 
 def _classified(spark, sf):
@@ -118,8 +139,28 @@ def parse_tags(spark, sf):
     return _v(spark, sf, "raw_content").select("id", F.array_join(P.technology_tags(F.col("raw_content")), "|").alias("tags")).where("tags <> ''")
 
 
+def _all_deps(spark, sf):
+    v = _v(spark, sf, "summary", "raw_content", "runtime_requirements").withColumn("t", F.concat_ws("\n", "summary", "raw_content"))
+    return P.version_dependencies(v, "id", "t", "runtime_requirements")
+
+
+def dep_union(spark, sf):
+    """Every dependency of every version, told from its text or declared."""
+    return _all_deps(spark, sf).select("id", "type", "name", "ecosystem", "confidence", "source")
+
+
+def dep_records(spark, sf):
+    r = P.dependency_record(_all_deps(spark, sf))
+    return r.select("id", *[F.size(c).alias(c) for c in ("tools", "apis", "packages", "env_vars", "runtimes")])
+
+
+def dep_api_keys(spark, sf):
+    d = table(spark, sf, "documents", "doc_id", "text")
+    return d.select("doc_id", F.explode(P.api_keys(F.col("text"))).alias("service"))
+
+
 def dep_packages(spark, sf):
-    """Packages that texts and requirements name, by how many versions."""
+    """Packages that requirements name, by how many versions."""
     return _deps(spark, sf).groupBy("name", "ecosystem").agg(F.count_distinct("id").alias("n"))
 
 
@@ -209,44 +250,10 @@ def broken_summary(spark, sf):
     return _v(spark, sf, "summary").select("id", T.broken_summary("summary").alias("broken"))
 
 
-NAMES = "license_detect license_of security_flags risk_level quality_score compat_matrix compat_levels runtime_os_detect taxonomy_classify taxonomy_distribution taxonomy_changes taxonomy_stats ordered_distinct parse_title_sections parse_summary infer_domain parse_tags dep_packages dep_text_packages dep_env_vars dep_tools secret_scan graph_direct graph_closure graph_cycles graph_conflicts graph_external graph_stats content_hash record_hash record_uuid validate_ids html_escape broken_summary".split()
+NAMES = "license_detect license_of security_flags risk_level quality_score scoring_summary compat_matrix compat_levels compat_notes compat_incremental compat_summary runtime_os_detect taxonomy_classify taxonomy_distribution taxonomy_changes taxonomy_stats ordered_distinct parse_title_sections parse_summary infer_domain parse_tags dep_union dep_records dep_api_keys dep_packages dep_text_packages dep_env_vars dep_tools secret_scan graph_direct graph_closure graph_cycles graph_conflicts graph_external graph_stats content_hash record_hash record_uuid validate_ids html_escape broken_summary".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 
-def _re(*patterns: str) -> str:
-    return "|".join(f"(?:{R.bordered(p)})" for p in patterns).replace("'", "''")
-
-
-def _m(text: str, *patterns: str) -> str:
-    return f"regexp_matches({text}, '{_re(*patterns)}')"
-
-
-_LICENSE = "CASE " + " ".join(f"WHEN {_m('t', p)} THEN '{n}'" for n, p in R.LICENSES) + " ELSE 'unknown' END"
-_BOTH = "lower(concat_ws(' ', summary, raw_content))"
-_FLAGS = "list_filter([" + ", ".join(f"CASE WHEN {_m('t', *p)} THEN '{f}' END" for f, p in sorted(R.SECURITY.items())) + "], lambda x: x IS NOT NULL)"
-_RISK = "CASE WHEN length(trim(t)) < 10 THEN 'UNKNOWN' WHEN list_contains(flags, 'destructive_potential') OR len(flags) >= 4 THEN 'HIGH' WHEN len(flags) >= 2 THEN 'MEDIUM' ELSE 'LOW' END"
-_FLAGGED = f"WITH d AS (SELECT *, {_BOTH} AS t FROM versions), g AS (SELECT *, {_FLAGS} AS flags FROM d), r AS (SELECT *, {_RISK} AS risk FROM g)"
-
-
-def _bank(bank: dict[str, str]) -> str:
-    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_m('t', p)} THEN '{n}' END" for n, p in bank.items()) + "], lambda x: x IS NOT NULL), '|')"
-
-
-def _fit() -> str:
-    rows = ", ".join("(" + ", ".join([f"'{a}'", *("true" if v else "false" for v in vs), f"'{_re(R.MENTIONS[a]) if a in R.MENTIONS else '^$a'}'"]) + ")" for a, vs in R.AGENTS.items())
-    rt = " ".join(f"- CASE WHEN {_m('t', R.RUNTIMES[r])} AND NOT shell_ok THEN 0.2::DOUBLE ELSE 0 END" for r in ("rust", "go", "java", "deno"))
-    score = f"""0.5::DOUBLE + CASE WHEN sf THEN CASE WHEN skill THEN 0.35::DOUBLE ELSE -0.1::DOUBLE END ELSE 0 END
- + CASE WHEN af AND agents THEN 0.15::DOUBLE ELSE 0 END
- + CASE WHEN m THEN CASE WHEN mcp_ok THEN 0.3::DOUBLE ELSE -0.3::DOUBLE END ELSE 0 END {rt}
- - CASE WHEN br AND NOT browser_ok THEN 0.2::DOUBLE ELSE 0 END - CASE WHEN sh AND NOT sf AND NOT shell_ok THEN 0.3::DOUBLE ELSE 0 END
- + CASE WHEN regexp_matches(t, mention) THEN 0.15::DOUBLE ELSE 0 END - CASE WHEN dk AND NOT shell_ok THEN 0.2::DOUBLE ELSE 0 END"""
-    return f"""WITH a(agent, skill, agents, mcp_ok, shell_ok, browser_ok, python, node, cli, mention) AS (VALUES {rows}),
-d AS (SELECT id, {_BOTH} AS t, contains(lower(coalesce(source_path, '')), 'skill.md') AS sf, contains(lower(coalesce(source_path, '')), 'agents.md') AS af FROM versions),
-s AS (SELECT *, {_m('t', R.SIGNALS['mcp'])} AS m, {_m('t', R.SIGNALS['browser'])} AS br, {_m('t', R.SIGNALS['shell'])} AS sh, {_m('t', R.SIGNALS['docker'])} AS dk FROM d),
-x AS (SELECT id, agent, m AND NOT mcp_ok AS blocked, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, {score})), 3) AS score FROM s, a),
-fit AS (SELECT id, agent, score, CASE WHEN score >= 0.8 THEN 'SUPPORTED' WHEN score >= 0.6 THEN 'LIKELY_SUPPORTED' WHEN score >= 0.35 THEN 'REQUIRES_ADAPTER' WHEN blocked THEN 'NOT_SUPPORTED' ELSE 'UNKNOWN' END AS level FROM x)"""
-
-
 _KEY = "regexp_replace(lower(trim({0})), '[-_\\s]+', '', 'g')"
 _TAX = f"""WITH al0 AS (SELECT ref_id * 1000 + generate_subscripts(list_concat([canonical], aliases), 1) - 1 AS rank, canonical, taxonomy_path, unnest(list_concat([canonical], aliases)) AS alias FROM taxonomy_ref),
 al AS (SELECT rank, {_KEY.format('alias')} AS key, canonical, taxonomy_path FROM al0 QUALIFY row_number() OVER (PARTITION BY {_KEY.format('alias')} ORDER BY rank) = 1),
@@ -263,21 +270,22 @@ _DEPS = "dp AS (SELECT id, skill_id AS src, json_extract_string(p, '$.name') AS
 _EDGES = "e AS (SELECT p_partkey AS src, (p_partkey // 2)::BIGINT AS dst FROM part WHERE p_partkey // 2 >= 1 UNION ALL SELECT 1::BIGINT, 5::BIGINT WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = 1))"
 _REACH = f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src WHERE r.depth < 20), c AS (SELECT src, dst, min(depth)::INT AS depth FROM r GROUP BY 1, 2)"
 
+_SECRETS = [r"(?i)(?:api[_-]?key|secret|token|password|credential)\s*[:=]\s*[''\"]?[a-z0-9_-]{20,}", "(?i)gh[oprsu]_[a-z0-9]{36,}", "(?i)[ps]k_(?:live|test)_[a-z0-9]{20,}", "(?i)akia[0-9a-z]{16}"]
+_FREE = "('MIT', 'Apache-2.0', 'BSD', 'BSD-2-Clause', 'BSD-3-Clause', 'ISC', 'Unlicense', 'GPL', 'GPL-2.0', 'GPL-3.0', 'LGPL', 'AGPL', 'AGPL-3.0', 'MPL-2.0')"
+_RT = ", ".join(f"CASE WHEN {S.word('t', *p)} THEN '{n}' END" for n, p in S.RUNTIMES.items())
+
 SQL = {
-    "license_detect": f"SELECT id, {_LICENSE} AS license FROM (SELECT id, lower(coalesce(raw_content, '')) AS t FROM versions)",
-    "license_of": f"WITH d AS (SELECT id, lower(coalesce(summary, '')) AS t, json_extract_string({json_sql('license')}, '$.type') AS ty FROM versions) SELECT id, CASE WHEN coalesce(ty, '') <> '' THEN ty ELSE {_LICENSE} END AS type, CASE WHEN coalesce(ty, '') <> '' THEN 0.9::DOUBLE WHEN {_LICENSE} <> 'unknown' THEN 0.7::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM d",
-    "security_flags": f"{_FLAGGED} SELECT id, array_to_string(flags, '|') AS flags, risk FROM r",
-    "risk_level": f"{_FLAGGED} SELECT risk, count(*) AS n FROM r GROUP BY 1",
-    "quality_score": f"""{_FLAGGED}, c AS (SELECT version_id_fk AS v, count(*) AS n FROM capabilities GROUP BY 1), tg AS (SELECT version_id_fk AS v, count(*) AS n FROM tags GROUP BY 1),
-q AS (SELECT r.id, length(coalesce(summary, '')) AS ls, length(coalesce(raw_content, '')) AS lr, coalesce(c.n, 0) AS caps, coalesce(tg.n, 0) AS tags, coalesce(input_format, '') NOT IN ('', 'unknown') AS hi, coalesce(output_format, '') NOT IN ('', 'unknown') AS ho,
-  coalesce(domain_primary, '') <> '' AS dm, runtime_requirements IS NOT NULL AND regexp_replace(runtime_requirements, '\\s+', '', 'g') NOT IN ('', '{{}}', '[]', 'null') AS dp, imported_at, risk, len(flags) AS nf FROM r LEFT JOIN c ON c.v = r.id LEFT JOIN tg ON tg.v = r.id),
-s AS (SELECT *, least(1.0::DOUBLE, CASE WHEN ls > 200 THEN 0.3::DOUBLE WHEN ls > 100 THEN 0.2::DOUBLE WHEN ls > 30 THEN 0.1::DOUBLE ELSE 0.05::DOUBLE END + CASE WHEN lr > 100 THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN caps > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN hi THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN ho THEN 0.1::DOUBLE ELSE 0 END) AS doc,
-  (CASE WHEN ls > 0 THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN dm THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN caps > 0 THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN tags > 0 THEN 0.2::DOUBLE ELSE 0 END) + (CASE WHEN dp THEN 0.2::DOUBLE ELSE 0 END) AS meta,
-  CASE risk WHEN 'LOW' THEN 0.9::DOUBLE WHEN 'MEDIUM' THEN 0.6::DOUBLE WHEN 'HIGH' THEN 0.3::DOUBLE ELSE CASE WHEN nf > 0 THEN greatest(0.2::DOUBLE, 1.0::DOUBLE - 0.15::DOUBLE * nf) ELSE 0.5::DOUBLE END END AS post FROM q)
-SELECT id, round(doc, 3) AS documentation, round(meta, 3) AS metadata, round(0.25::DOUBLE * doc + 0.20::DOUBLE * meta + 0.10::DOUBLE * CASE WHEN imported_at IS NULL THEN 0.3::DOUBLE ELSE 0.8::DOUBLE END + 0.10::DOUBLE * 0.2::DOUBLE + 0.15::DOUBLE * CASE WHEN dp THEN 0.7::DOUBLE ELSE 0.2::DOUBLE END + 0.20::DOUBLE * post, 3) AS overall FROM s""",
-    "compat_matrix": f"{_fit()} SELECT id, agent, score, level FROM fit",
-    "compat_levels": f"{_fit()} SELECT agent, level, count(*) AS n FROM fit GROUP BY 1, 2",
-    "runtime_os_detect": f"WITH d AS (SELECT id, {_BOTH} AS t, lower(coalesce(source_path, '')) AS p FROM versions) SELECT id, {_bank(R.RUNTIMES)} AS runtimes, {_bank(R.SYSTEMS)} AS systems, CASE WHEN contains(p, 'skill.md') THEN 'prompt_only' WHEN {_m('t', R.SIGNALS['mcp'])} THEN 'mcp_tool' WHEN {_m('t', '_(npm|pip|npx)_')} THEN 'tool_call' WHEN {_m('t', R.SIGNALS['shell'])} THEN 'cli_command' ELSE 'prompt_only' END AS invocation FROM d",
+    "license_detect": f"SELECT id, {S.license_case('t')} AS license FROM (SELECT id, lower(coalesce(raw_content, '')) AS t FROM versions)",
+    "license_of": f"WITH {S.LICENSED} SELECT id, license_type AS type, license_confidence AS confidence, CASE WHEN license_type IN {_FREE} THEN true END AS redistributable, CASE WHEN license_type IN {_FREE} THEN license_type <> 'Unlicense' END AS attribution FROM lic",
+    "security_flags": f"WITH {S.FLAGGED} SELECT id, array_to_string(flags, '|') AS flags, risk FROM r",
+    "risk_level": f"WITH {S.FLAGGED} SELECT risk, count(*) AS n FROM r GROUP BY 1",
+    "quality_score": f"WITH {S.SCORED} SELECT id, documentation, metadata, freshness, adoption, dependency, posture, overall FROM sc",
+    "scoring_summary": f"WITH {S.SCORED} SELECT 'quality' AS kind, CASE WHEN overall >= 0.8 THEN 'excellent' WHEN overall >= 0.6 THEN 'good' WHEN overall >= 0.4 THEN 'fair' ELSE 'poor' END AS key, count(*) AS n FROM sc GROUP BY 1, 2 UNION ALL SELECT 'license', license_type, count(*) FROM sc GROUP BY 1, 2 UNION ALL SELECT 'risk', risk, count(*) FROM sc GROUP BY 1, 2 UNION ALL SELECT 'average', 'quality', coalesce(floor(avg(round(overall * 1000)::BIGINT)), 0)::BIGINT FROM sc",
+    "compat_matrix": f"WITH {S.fit()} SELECT id, agent, score, level, array_to_string(blockers, '|') AS blockers FROM fit",
+    "compat_levels": f"WITH {S.fit()} SELECT agent, level, count(*) AS n FROM fit GROUP BY 1, 2",
+    "compat_incremental": f"WITH {S.fit()} SELECT s.id, invocation AS invocation_type, m AS mcp_compatible, (SELECT count(*) FROM a)::INT AS agents, fit.level AS codex FROM s JOIN fit ON fit.id = s.id AND agent = 'codex' JOIN versions v ON v.id = s.id WHERE v.compatibility IS NULL OR regexp_replace(v.compatibility, '\\s+', '', 'g') IN ('', '{{}}', '[]', 'null')",
+    "compat_summary": f"WITH {S.fit()} SELECT 'invocation' AS kind, invocation AS key, count(*) AS n FROM s GROUP BY 1, 2 UNION ALL SELECT 'runtime', unnest(list_filter([{_RT}], lambda x: x IS NOT NULL)) AS k, count(*) FROM s GROUP BY 1, 2 UNION ALL SELECT 'format', 'mcp', count(*) FROM s WHERE m HAVING count(*) > 0 UNION ALL SELECT 'format', 'skill_md', count(*) FROM s WHERE sf HAVING count(*) > 0 UNION ALL SELECT 'level', agent || ' ' || level, count(*) FROM fit GROUP BY 1, 2",
+    "runtime_os_detect": f"WITH d AS (SELECT id, source_path, {S.BOTH} AS t FROM versions) SELECT id, {S.bank(S.RUNTIMES)} AS runtimes, {S.bank(S.SYSTEMS)} AS systems, {S.INVOCATION} AS invocation FROM d",
     "taxonomy_classify": f"{_TAX} SELECT name, canonical, taxonomy_path, how FROM tx",
     "taxonomy_distribution": f"{_TAX} SELECT regexp_extract(taxonomy_path, '^([^./]*)', 1) AS category, how, count(*) AS n FROM tx GROUP BY 1, 2",
     "taxonomy_changes": f"{_TAX} SELECT count(*) FILTER (c.canonical IS NOT DISTINCT FROM tx.canonical) AS kept, count(*) FILTER (c.canonical IS DISTINCT FROM tx.canonical) AS changed FROM capabilities c JOIN tx USING (name)",
@@ -287,8 +295,8 @@ SELECT id, round(doc, 3) AS documentation, round(meta, 3) AS metadata, round(0.2
     "parse_tags": f"SELECT * FROM (SELECT id, array_to_string(list_slice(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(raw_content, '')), '[\\p{{L}}\\p{{N}}_]+')), {R.TECHNOLOGIES})), 1, 15), '|') AS tags FROM versions) WHERE tags <> ''",
     "dep_packages": f"WITH {_DEPS} SELECT name, ecosystem, count(DISTINCT id) AS n FROM dp GROUP BY 1, 2",
     "dep_env_vars": "SELECT doc_id, unnest(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+')))) AS name FROM documents",
-    "dep_tools": "SELECT tool, count(*) AS n FROM (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN {_m('t', f'_{x}_')} THEN '{x}' END" for x in sorted(R.TOOLS)) + "], lambda x: x IS NOT NULL)) AS tool FROM (SELECT lower(coalesce(text, '')) AS t FROM documents)) GROUP BY 1",
-    "secret_scan": "SELECT DISTINCT doc_id AS id, kind, left(hit, 40) || '...' AS preview, (instr(text, hit) - 1)::INT AS position FROM (" + " UNION ALL ".join(f"SELECT doc_id, text, {i} AS kind, unnest(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}')) AS hit FROM documents WHERE text IS NOT NULL" for i, p in enumerate(R.SECRETS)) + ")",
+    "dep_tools": "SELECT tool, count(*) AS n FROM (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN {S.word('t', x)} THEN '{x}' END" for x in sorted(S.TOOLS)) + "], lambda x: x IS NOT NULL)) AS tool FROM (SELECT lower(coalesce(text, '')) AS t FROM documents)) GROUP BY 1",
+    "secret_scan": "WITH h AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS kind, regexp_extract_all(text, '{p}') AS hits, string_split_regex(text, '{p}') AS parts FROM documents WHERE text IS NOT NULL" for i, p in enumerate(_SECRETS)) + "), e AS (SELECT doc_id, kind, hits, parts, unnest(range(1, len(hits) + 1)) AS k FROM h WHERE len(hits) > 0) SELECT doc_id AS id, kind, left(hits[k], 40) || '...' AS preview, (list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0))::INT AS position FROM e",
     "graph_direct": f"WITH {_EDGES} SELECT dst, count(*) AS dependents FROM e GROUP BY 1",
     "graph_closure": f"{_REACH} SELECT src, dst, depth FROM c",
     "graph_cycles": f"{_REACH} SELECT min(least(a.src, a.dst)) AS cycle, a.src AS node FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src",

@@ -4,6 +4,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from loomspan import schema as K
+from loomspan.functions import rules as R2
 from loomspan.functions import text as X
 from loomspan.operators import analytics as A
 from loomspan.operators import graph as G
@@ -49,26 +50,76 @@ def test_overrides_and_classes(spark):
 # rules ------------------------------------------------------------------------
 
 
+def scan(spark, text, expr):
+    return Q.with_scan(spark.createDataFrame([(text,)], "t string"), "t").select(expr.alias("o")).first()["o"]
+
+
 def test_license_first_match(spark):
-    cases = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "unknown", "Licensed under CC BY-NC 4.0.": "CC", "BSD-3-Clause": "BSD", "AGPL-3.0": "AGPL", "mitäer": "unknown", "mit der": "MIT", "": "unknown"}
+    cases = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "unknown", "Licensed under CC BY-NC 4.0.": "CC", "BSD-3-Clause": "BSD", "AGPL-3.0": "AGPL", "mitäer": "unknown", "mit der": "MIT", "": "unknown", None: "unknown"}
     for t, want in cases.items():
-        assert one(spark, t, Q.license_name) == want, t
-    assert one(spark, None, Q.license_name) == "unknown"
+        assert scan(spark, t, Q.license_name()) == want, t
+
+
+def test_license_sources(spark):
+    d = spark.createDataFrame([("MIT", "ISC"), ("odd", '"ISC"'), (None, '{"type": "house rules"}'), (None, '{"type": "unknown"}'), (None, "odd")], "repo string, lic string").withColumn("t", F.lit("under gpl v3"))
+    got = Q.with_scan(d, "t").select(Q.license_of(F.col("repo"), F.col("lic")).alias("l")).collect()
+    assert [(r["l"]["type"], r["l"]["confidence"]) for r in got] == [("MIT", 0.95), ("ISC", 0.9), ("house rules", 0.9), ("GPL", 0.7), ("GPL", 0.7)]
+    p = spark.createDataFrame([("MIT",), ("Unlicense",), ("house rules",), (None,)], "k string").select(Q.permissions(F.col("k")).alias("p")).collect()
+    assert [(r["p"]["allows_commercial"], r["p"]["requires_attribution"]) for r in p] == [(True, True), (True, False), (None, None), (None, None)]
 
 
 def test_risk(spark):
-    f = lambda t: one(spark, t, lambda c: Q.risk_level(c, Q.security_flags(c)))
+    f = lambda t: scan(spark, t, Q.risk_level(Q.security_flags()))
     assert f("") == f(None) == "UNKNOWN"
     assert f("Delete files and remove directories from disk") == "HIGH"
     assert f("A simple code formatting skill for Python files") == "LOW"
     assert f("calls the api request with a token over https") == "MEDIUM"
 
 
+def test_flags_of_neighbouring_words(spark):
+    for t, flag in {
+        "drop table users": "destructive_potential",
+        "then drop the old table": "destructive_potential",
+        "please kill process 7": "destructive_potential",
+        "it will format disk two": "destructive_potential",
+        "the path read by it": "filesystem_access",
+        "navigate url of the page": "browser_automation",
+        "run a command there": "shell_execution",
+        "use the command line": "shell_execution",
+    }.items():
+        assert flag in scan(spark, t, Q.security_flags()), t
+    for t in ("drop\ntable users", "raindrop tables here", "the übershell works", "dropped table data"):
+        assert scan(spark, t, Q.security_flags()) == [], t
+
+
+def test_spellings_of_signals(spark):
+    for t, bank, name in [("claude_code here", R2.MENTIONS, "claude"), ("claude-desktop", R2.MENTIONS, "claude"), ("openai_codex", R2.MENTIONS, "codex"), ("docker_compose up", R2.SIGNALS, "docker"), ("an mcp_server", R2.SIGNALS, "mcp"), ("model context protocol", R2.SIGNALS, None), ("api_token", R2.SIGNALS, "api"), ("python3", R2.RUNTIMES, "python")]:
+        assert scan(spark, t, Q.found(bank)) == ([name] if name else []), t
+
+
 def test_agent_fit(spark):
-    d = spark.createDataFrame([(1, "skills/a/SKILL.md", "review code", "x"), (2, "a/README.md", "an mcp server", "x"), (3, None, None, "x")], "id long, p string, t string, agent string")
-    got = {(r["id"], r["agent"]): r["level"] for r in Q.agent_fit(d, "id", "p", "t").collect()}
-    assert got[(1, "claude")] == "SUPPORTED" and got[(1, "gemini")] == "REQUIRES_ADAPTER"
-    assert got[(2, "codex")] == "NOT_SUPPORTED" and got[(2, "mcp_client")] == "SUPPORTED" and got[(3, "claude")] == "REQUIRES_ADAPTER"
+    d = spark.createDataFrame([(1, "skills/a/SKILL.md", "review code", "x"), (2, "a/README.md", "an mcp server in rust", "x"), (3, None, None, "x")], "id long, p string, t string, agent string")
+    s = Q.platform_signals(d, "id", "p", "t")
+    got = {(r["id"], r["agent"]): r for r in Q.agent_fit(s).collect()}
+    level = lambda i, a: got[(i, a)]["level"]
+    assert level(1, "claude") == "SUPPORTED" and level(1, "gemini") == "REQUIRES_ADAPTER"
+    assert level(2, "codex") == "NOT_SUPPORTED" and level(2, "mcp_client") == "LIKELY_SUPPORTED" and level(3, "claude") == "REQUIRES_ADAPTER"
+    assert got[(2, "codex")]["blockers"] == ["needs mcp"] and "needs rust (no shell)" in got[(2, "mcp_client")]["blockers"] and got[(1, "claude")]["enablers"] == ["skill file"]
+    old = spark.createDataFrame([(1, None), (2, '{"agents": {}}'), (3, "null")], "id long, compatibility string")
+    r = {x["id"]: x["profile"] for x in Q.compatibility_records(s, old).collect()}
+    assert sorted(r) == [1, 3] and sorted(r[1]["agents"]) == sorted(R2.AGENTS)
+    assert ("runtime", "rust", 1) in rows(Q.compatibility_summary(s))
+
+
+def test_scores(spark):
+    v = spark.createDataFrame([(1, "r", "n", "s" * 150, "pip install ruff, then drop table", "d", "text", "none", '{"tools": ["git"]}', None, None, 0), (2, None, None, None, None, None, None, None, None, None, None, None)], "id long, source_repo string, name string, summary string, raw_content string, domain_primary string, input_format string, output_format string, runtime_requirements string, license string, imported_at timestamp, stars int")
+    c = spark.createDataFrame([(1,), (None,)], "version_id_fk long")
+    r = {x["id"]: x for x in Q.score_versions(v, c, c, spark.createDataFrame([("r", '{"type": "MIT"}'), ("r", None), (None, "ISC")], "id string, license string")).collect()}
+    one = r[1]
+    assert (one["license_type"], one["risk"], one["documentation"], one["metadata"], one["dependency"]) == ("MIT", "HIGH", 0.5, 0.9, 0.9)
+    assert one["overall"] == round(0.5 * 0.25 + 0.9 * 0.2 + 0.03 + 0.02 + 0.9 * 0.15 + 0.3 * 0.2, 3)
+    assert (r[2]["license_type"], r[2]["risk"], r[2]["metadata"]) == ("unknown", "UNKNOWN", 0.0)
+    assert ("average", "quality", int((one["overall"] + r[2]["overall"]) * 500)) in rows(Q.scoring_summary(Q.score_versions(v, c, c, spark.createDataFrame([], "id string, license string"))))
 
 
 def test_taxonomy(spark):
@@ -92,9 +143,21 @@ def test_parse_file(spark):
     s = P.secrets(d, "id", "text").collect()
     assert len(s) == 1 and len(s[0]["preview"]) == 43 and SKILL[s[0]["position"] :].startswith("token")
     assert one(spark, SKILL, P.env_vars) == ["API_KEY_ONE"]
+    twice = "a token = " + "x" * 24 + " and again token = " + "x" * 24
+    s = P.secrets(spark.createDataFrame([(1, twice), (2, None), (3, "")], "id long, text string"), "id", "text").collect()
+    assert [r["position"] for r in s] == [2, twice.rindex("token")]
     assert one(spark, "a pentest finds a vulnerability and an exploit", P.infer_domain) == "security"
 
 
+def test_dependencies(spark):
+    d = spark.createDataFrame([(1, "It requires python 3.10 and pip install requests flask.\nSet OPENAI_API_KEY. Uses docker.", None), (2, "short", '{"tools": ["docker", {"name": "kubectl"}], "apis": [{"name": "x", "version": 1}, {}]}'), (3, None, "{broken"), (4, "Uses git for version control", "[]")], "id long, t string, req string")
+    got = rows(P.version_dependencies(d, "id", "t", "req").select("id", "type", "name", "source"))
+    assert got == sorted([(1, "api", "OpenAI API", "text"), (1, "env_var", "OPENAI_API_KEY", "text"), (1, "package", "flask.", "text"), (1, "package", "requests", "text"), (1, "runtime", "python", "text"), (1, "tool", "docker", "text"), (2, "api", "x", "declared"), (2, "tool", "docker", "declared"), (2, "tool", "kubectl", "declared"), (4, "tool", "git", "text")], key=repr)
+    assert P.dependencies_in(d, "id", "t", 0.9).where("id = 4").count() == 0
+    r = {x["id"]: x for x in P.dependency_record(P.version_dependencies(d, "id", "t", "req")).collect()}
+    assert [x["name"] for x in r[2]["tools"]] == ["docker", "kubectl"] and r[2]["packages"] == []
+
+
 # graph ------------------------------------------------------------------------
 
 
