@@ -5,8 +5,10 @@ encoding.  A token may follow another only if encoding the two together gives
 just those two, so the last token of a prefix follows from the last tokens of at
 most ``lookahead`` earlier prefixes (the longest entry of the merge list).  A
 token is emitted as soon as all prefixes that can still matter agree on it, so
-the state has a size that does not grow with the text.  Decoding is an
-incremental byte-to-text state machine.
+the state has a size that does not grow with the text.  Every piece of a text goes
+through it; what it gave for a piece is remembered in a bounded table.  Merging
+by rank only answers, once for each pair of tokens, whether one may follow the
+other.  Decoding is an incremental byte-to-text state machine.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from pyspark.sql import DataFrame
 #: Fixed value: the pattern that splits text before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER_DIR = "/opt/tokenizers"
-_SHORT = 48  # bytes of a piece up to which merging in place is quicker
 _CACHE = 200_000
 
 
@@ -44,7 +45,7 @@ class Transducer:
 
     # encoding of one piece ------------------------------------------------
     def _merge(self, piece: bytes) -> list[int]:
-        """Lowest rank first, leftmost first; for short pieces."""
+        """Lowest rank first, leftmost first; for the bytes of two tokens."""
         if piece in self.ranks:
             return [self.ranks[piece]]
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -132,7 +133,7 @@ class Transducer:
         got = self._known.get(text)
         if got is None:
             raw = text.encode("utf-8", "surrogatepass")
-            got = tuple(self._merge(raw) if len(raw) <= _SHORT else self.stream(iter((raw,))))
+            got = tuple(self.stream(iter((raw,))))
             if len(text) <= 64:
                 if len(self._known) >= _CACHE:
                     self._known.clear()

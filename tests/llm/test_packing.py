@@ -47,3 +47,20 @@ def test_documents(spark):
         assert sum(n for _, _, n in three) == 301 and (len(three) == 3 if t == 1 else len(three) == 1)
     assert rows(pack_documents(d.where("false"), targets)) == []
     assert rows(pack_documents(d, targets.where("false"))) == []
+
+
+def test_large_items_need_few_more_than_the_bound():
+    """Items of about two fifths of the capacity, where near-equal windows exceed it."""
+    rng = np.random.default_rng(5)
+    s = np.concatenate([rng.integers(20, 200, 900), rng.integers(200, 512, 500), np.full(60, 340)])
+    c = pack(s, 512)
+    assert sorted(sum(c, [])) == list(range(len(s))) and all(s[i].sum() <= 512 for i in c)
+    assert len(c) <= 1.01 * fewest(s, 512)
+
+
+def test_containers_do_not_depend_on_the_order_of_rows(spark):
+    data = [(i // 2, "some words " * (i % 37 + 1)) for i in range(200)]
+    targets = spark.createDataFrame([(1, "byte_bpe_50k", 64)], "target_id int, tokenizer string, capacity int")
+    one = pack_documents(spark.createDataFrame(data, "doc_id long, text string").coalesce(1), targets, shard_items=50)
+    other = pack_documents(spark.createDataFrame(data[::-1], "doc_id long, text string").repartition(5), targets, shard_items=50)
+    assert rows(one) == rows(other)
