@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.llm.bpe import TOKENIZER_DIR, token_counts
-from loomspan.session import cut_lineage
+from loomspan.session import cut_lineage, shuffle_width
 
 
 def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, list[list[int]]]:
@@ -161,18 +161,12 @@ def exchange(sizes: np.ndarray, home: np.ndarray, sums: np.ndarray, capacity: in
         stuck[[w, to]], changed = False, True
 
 
-def relieve(sizes: np.ndarray, windows: list[list[int]], capacity: int) -> tuple[list[list[int]], list[int]]:
-    """(windows that fit, items without a place): exchange first; what still
-    exceeds gives up its smallest sufficient item.
+def settle(sizes: np.ndarray, home: np.ndarray, sums: np.ndarray, capacity: int) -> bool:
+    """Whether all windows can be made to fit by single items, in place.
 
-    That item goes where it fits best, else takes the place of the smallest item
-    that leaves room for it, which then looks for a place itself; sizes fall with
-    every such step."""
-    home = np.empty(len(sizes), np.int64)
-    for w, items in enumerate(windows):
-        home[items] = w
-    sums = np.bincount(home, sizes, len(windows)).astype(np.int64)
-    exchange(sizes, home, sums, capacity)
+    A window that exceeds gives up its smallest sufficient item.  That goes where
+    it fits best, else takes the place of the smallest item that leaves room for
+    it, which then looks for a place itself; sizes fall with every such step."""
     heap: list[tuple[int, int]] = []
     while sums[w := int(sums.argmax())] > capacity:
         mine = np.flatnonzero(home == w)
@@ -181,7 +175,6 @@ def relieve(sizes: np.ndarray, windows: list[list[int]], capacity: int) -> tuple
         home[x] = -1
         sums[w] -= sizes[x]
         heapq.heappush(heap, (-int(sizes[x]), x))
-    homeless: list[int] = []
     while heap:
         _, x = heapq.heappop(heap)
         fits = np.flatnonzero(capacity - sums >= sizes[x])
@@ -191,8 +184,7 @@ def relieve(sizes: np.ndarray, windows: list[list[int]], capacity: int) -> tuple
             inside = np.flatnonzero((home >= 0) & (sizes < sizes[x]))
             inside = inside[sizes[inside] >= sizes[x] - capacity + sums[home[inside]]]
             if not len(inside):
-                homeless.append(x)
-                continue
+                return False
             y = int(inside[sizes[inside].argmin()])
             w = int(home[y])
             home[y] = -1
@@ -200,10 +192,7 @@ def relieve(sizes: np.ndarray, windows: list[list[int]], capacity: int) -> tuple
             heapq.heappush(heap, (-int(sizes[y]), y))
         home[x] = w
         sums[w] += sizes[x]
-    placed: list[list[int]] = [[] for _ in windows]
-    for i in np.flatnonzero(home >= 0):
-        placed[home[i]].append(int(i))
-    return placed, homeless
+    return True
 
 
 def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -211,7 +200,7 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
     k starts from the lower bound.  If near-equal windows exceed the capacity at
     k, differencing fills seven eighths of the windows, and the empty ones take up
-    what these exceed; k rises by one until no item is left without a place."""
+    what these exceed; while an item is left without a place, one more is added."""
     if not len(sizes):
         return []
     sizes = sizes.astype(np.int64)
@@ -220,11 +209,18 @@ def pack(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     if sums.max() <= capacity:
         return windows
     _, windows = differencing(sizes, max(1, k - k // 8))
+    home = np.empty(len(sizes), np.int64)
+    for w, items in enumerate(windows):
+        home[items] = w
+    sums = np.bincount(home, sizes, k).astype(np.int64)
     while True:
-        placed, homeless = relieve(sizes, windows + [[] for _ in range(k - len(windows))], capacity)
-        if not homeless:
-            return [w for w in placed if w]
-        k += 1
+        exchange(sizes, home, sums, capacity)
+        h, s = home.copy(), sums.copy()
+        if settle(sizes, h, s, capacity):
+            break
+        sums = np.append(sums, 0)
+    order = np.argsort(h, kind="stable")
+    return [list(map(int, w)) for w in np.split(order, np.flatnonzero(np.diff(h[order])) + 1)]
 
 
 def _fill(g: pd.DataFrame) -> pd.DataFrame:
@@ -279,4 +275,6 @@ def pack_documents(documents: DataFrame, targets: DataFrame, shard_items: int =
     count = items.groupBy("target_id").agg(F.count("*").alias("c")).agg(F.max("c")).first()[0] or 0
     shards = max(1, -(-count // shard_items))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "copy"), F.lit(shards)))
-    return items.select("target_id", "capacity", "doc_id", "piece", "token_from", "n_tokens", "shard").groupBy("target_id", "shard").applyInPandas(_fill, out)
+    items = items.select("target_id", "capacity", "doc_id", "piece", "token_from", "n_tokens", "shard")
+    # few bytes and much work a shard: the width is given, so that small partitions are not joined
+    return items.repartition(shuffle_width(documents.sparkSession), "target_id", "shard").groupBy("target_id", "shard").applyInPandas(_fill, out)
