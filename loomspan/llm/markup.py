@@ -1,11 +1,14 @@
-"""Markup residue (problem 1): block trees, their hashes, site templates.
-
-A page is parsed into the subtrees of its block elements, each with its markup
-kind (html, markdown, wiki, latex), what it is (heading, list_item, code_block,
-formula, or text), its clean text and a hash.  The hashes are counted per host in
-Spark, and subtrees that recur on many pages of a host are its template and leave
-the clean text.  What a page holds of each element is counted over all subtrees,
-the template's too, as the markup is there whether or not the text is kept.
+"""Markup residue (problem 1): element trees, hashes of their subtrees, site templates.
+
+A page is parsed into its leaf elements in order, each with its markup kind
+(html, markdown, wiki, latex), what it is (heading, list_item, code_block,
+formula, or text) and its clean text; and into the subtrees that hold them: the
+containers of html (menus, lists, footers, boxes, tables, nested as they are),
+lists and sections of every kind.  A subtree's hash is made from its leaves'.  The
+hashes are counted per host in Spark, and subtrees that recur on many pages of a
+host are its template: whatever they hold leaves the clean text.  What a page
+holds of each element is counted over all leaves, the template's too, as the
+markup is there whether or not the text is kept.
 """
 
 from __future__ import annotations
@@ -15,8 +18,8 @@ import re
 from collections.abc import Iterator
 from hashlib import blake2b
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.session import broadcast_if_small, cut_lineage
@@ -50,8 +53,16 @@ _HTML_PART = re.compile(
 )
 _MATH_SCRIPT = re.compile(r"<script\b[^>]*math/tex", re.I)
 
-#: A subtree: (kind, element, clean text); kind is None for text without markup.
+#: A leaf: (kind, element, clean text); kind is None for text without markup.
 Block = tuple[str | None, str | None, str]
+#: Where a container opens or closes: (number of leaves before, opens, tag).
+Event = tuple[int, bool, str]
+_LEAVES = pa.list_(pa.struct([("kind", pa.string()), ("element", pa.string()), ("text", pa.string()), ("over", pa.list_(pa.int64()))]))
+_NODES = pa.list_(pa.struct([("kind", pa.string()), ("hash", pa.int64())]))
+_CONTAINERS = frozenset("article aside details div dl figure footer form header main menu nav ol section table ul".split())
+_BREAKS = frozenset("p div ul ol table tr body html br hr footer header section".split())
+_MARK = re.compile(r"([\x03\x04])(\w+)[\x03\x04]")
+_LEADING = re.compile(r"(?:[ \t]*[\x03\x04]\w+[\x03\x04])*")
 
 
 def _plain(t: str) -> str:
@@ -169,7 +180,9 @@ def _html(text: str, marked: bool) -> tuple[list[Block], str, bool]:
                 nested = "".join(f"\x01{i}\x01" for i in range(at + 1, len(out)))
             return f"\n\x01{at}\x01{nested}\n"
         else:
-            return "\n" if re.match(r"</?(?:p|div|ul|ol|table|tr|body|html|br|hr|footer|header|section)\b", m[0], re.I) else ""
+            name = re.match(r"<[/!]?(\w*)", m[0])[1].lower()
+            mark = "" if name not in _CONTAINERS else f"\x04{name}\x04" if m[0][1] == "/" else f"\x03{name}\x03"
+            return ("\n" if name in _BREAKS else "") + mark
         return f"\x01{len(out) - 1}\x01"
 
     low = text.lower()
@@ -177,8 +190,9 @@ def _html(text: str, marked: bool) -> tuple[list[Block], str, bool]:
     return out, (_HTML_PART.sub(part, text) if "<" in low else text), has
 
 
-def _markdown(text: str) -> list[Block]:
-    """Markdown with html in it; either may be absent."""
+def _markdown(text: str, events: list[Event]) -> list[Block]:
+    """Markdown with html in it; either may be absent.  Containers of html are
+    appended to `events`."""
     out: list[Block] = []
     seen_md = False
     front = _FRONT.match(text)
@@ -232,7 +246,7 @@ def _markdown(text: str) -> list[Block]:
             if m.re is _DOLLAR and not _MATHY.search(body):
                 return m[0]
             seen_md = True
-            spot.append(("markdown", "formula", body.strip()))
+            spot.append(("markdown", "formula", _MARK.sub("", body).strip()))
             return f"\x00{len(spot) - 1}\x00"
 
         if "$$" in t:
@@ -270,7 +284,11 @@ def _markdown(text: str) -> list[Block]:
             if b[1]:
                 out.append(b)
 
-    for line in text.split("\n"):
+    for line, marks in _with_marks(text):
+        if marks:
+            flush()
+            events.extend((len(out), m[0] == "\x03", m[1]) for m in marks)
+            continue
         if not page and line.startswith(">"):
             seen_md = True
             line = line.lstrip("> ")
@@ -334,6 +352,20 @@ def _markdown(text: str) -> list[Block]:
     return out
 
 
+def _with_marks(text: str) -> Iterator[tuple[str, list]]:
+    """(line without container marks, []) or ('', marks), in order."""
+    for line in text.split("\n"):
+        if "\x03" not in line and "\x04" not in line:
+            yield line, []
+            continue
+        lead = _LEADING.match(line)[0]
+        if lead:
+            yield "", [(m[1], m[2]) for m in _MARK.finditer(lead)]
+        yield _MARK.sub("", line), []
+        if rest := [(m[1], m[2]) for m in _MARK.finditer(line, len(lead))]:
+            yield "", rest
+
+
 def _outside_code(text: str) -> str:
     """Text without fenced and tagged code, for telling the dialect."""
     if "```" in text or "~~~" in text:
@@ -348,12 +380,12 @@ def _outside_code(text: str) -> str:
     return text
 
 
-def parse_page(raw: str | None, path: str | None = None) -> list[Block]:
-    """The subtrees of a page in order.  Null and blank texts have none; program
-    source is one subtree without markup."""
+def parse_page(raw: str | None, path: str | None = None, events: list[Event] | None = None) -> list[Block]:
+    """The leaves of a page in order; containers are appended to `events`.  Null
+    and blank texts have none; program source is one leaf without markup."""
     if raw is None or not raw.strip():
         return []
-    text = raw.replace("\r\n", "\n").replace("\r", "\n").replace("\x00", "").replace("\x01", "").replace("\x02", "")
+    text = re.sub(r"[\x00-\x04]", "", raw.replace("\r\n", "\n").replace("\r", "\n"))
     name = (path or "").rsplit("/", 1)[-1].lower()
     if "." in name and name.rsplit(".", 1)[-1] in SOURCE_ENDINGS:
         return [(None, None, text.strip())]
@@ -378,73 +410,131 @@ def parse_page(raw: str | None, path: str | None = None) -> list[Block]:
         if re.search(r"^[*#]|^=+.*=+\s*$|<|\[|''|\{\{", shell, re.M):
             return _wiki(text)
         return [(None, None, text.strip())]
-    return _markdown(text)
-
-
-def page_blocks(pages: DataFrame, id_col: str, host_col: str, text_col: str, path_col: str) -> DataFrame:
-    """(id, host, page, seq, kind, element, text, hash, once) of every subtree;
-    `page` is a hash of the whole text, `once` marks the first of equal subtrees
-    of a page."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return _markdown(text, [] if events is None else events)
+
+
+def subtrees(leaves: list[Block], events: list[Event]) -> list[tuple[str, int, int]]:
+    """(tag, from, to) of every subtree with more than one leaf: containers,
+    lists (list items side by side) and sections (a heading and what follows up
+    to the next).  A container that is never closed ends with the page."""
+    spans: set[tuple[str, int, int]] = set()
+    stack: list[tuple[str, int]] = []
+    for at, opens, tag in events:
+        if opens:
+            stack.append((tag, at))
+        elif any(t == tag for t, _ in stack):
+            while True:
+                t, start = stack.pop()
+                spans.add((t, start, at))
+                if t == tag:
+                    break
+    spans |= {(t, start, len(leaves)) for t, start in stack}
+    start = 0
+    for i in range(1, len(leaves) + 1):
+        if i == len(leaves) or (leaves[i][1] == "list_item") != (leaves[i - 1][1] == "list_item"):
+            if leaves[start][1] == "list_item":
+                spans.add(("list", start, i))
+            start = i
+    heads = [i for i, x in enumerate(leaves) if x[1] == "heading"] + [len(leaves)]
+    spans |= {("section", i, j) for i, j in zip(heads, heads[1:])}
+    return sorted((s for s in spans if s[2] - s[1] > 1), key=lambda s: (s[1], -s[2], s[0]))
+
+
+def _digest(*parts: bytes) -> bytes:
+    h = blake2b(digest_size=8)
+    for p in parts:
+        h.update(p)
+    return h.digest()
+
+
+def page_trees(pages: DataFrame, id_col: str, host_col: str, text_col: str, path_col: str, least_chars: int) -> DataFrame:
+    """One row per page: (id, host, page, leaves[], nodes[]).
+
+    `page` is a hash of the whole text; a leaf has its kind, element, text and
+    the hashes of the subtrees that hold it (`over`, itself included); `nodes` are
+    the distinct (kind, hash) of the page's subtrees.  Subtrees whose clean text
+    has less than `least_chars` characters are too short to be told from one
+    another and have no hash."""
+
+    def one(raw: str | None, path: str | None) -> tuple[list, list]:
+        events: list[Event] = []
+        leaves = parse_page(raw, path, events)
+        own = [_digest(f"{k}\x00{e}\x00{t}".encode("utf-8", "replace")) for k, e, t in leaves]
+        size = [0]
+        for _, _, t in leaves:
+            size.append(size[-1] + len(t))
+        over: list[list[int]] = [[] for _ in leaves]
+        nodes: set[tuple[str, int]] = set()
+        for tag, lo, hi in [("", i, i + 1) for i in range(len(leaves))] + subtrees(leaves, events):
+            kind = next((k for k, _, _ in leaves[lo:hi] if k), None)
+            if kind is None or size[hi] - size[lo] + 4 * (hi - lo - 1) < least_chars:  # a line end and a mark between leaves
+                continue
+            h = int.from_bytes(own[lo] if hi - lo == 1 else _digest(tag.encode(), *own[lo:hi]), "little", signed=True)
+            nodes.add((kind, h))
+            for i in range(lo, hi):
+                over[i].append(h)
+        return [{"kind": k, "element": e, "text": t, "over": o} for (k, e, t), o in zip(leaves, over)], [{"kind": k, "hash": h} for k, h in sorted(nodes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, host, raw, path in zip(b["id"], b["host"], b["raw"], b["path"]):
-                seen = set()
-                page = int.from_bytes(blake2b((raw or "").encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                for n, (kind, element, text) in enumerate(parse_page(raw, path)):
-                    h = int.from_bytes(blake2b(f"{kind}\x00{element}\x00{text}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                    out.append((i, host, page, n, kind, element, text, h, h not in seen))
-                    seen.add(h)
-            if out:
-                yield pd.DataFrame(out, columns=["id", "host", "page", "seq", "kind", "element", "text", "hash", "once"])
+            raw, path = b.column("raw").to_pylist(), b.column("path").to_pylist()
+            trees = [one(r, p) for r, p in zip(raw, path)]
+            page = [int.from_bytes(_digest((r or "").encode("utf-8", "replace")), "little", signed=True) for r in raw]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("host"), pa.array(page, pa.int64()), pa.array([t[0] for t in trees], _LEAVES), pa.array([t[1] for t in trees], _NODES)], ["id", "host", "page", "leaves", "nodes"])
 
     p = pages.select(pages[id_col].cast("long").alias("id"), pages[host_col].alias("host"), pages[text_col].alias("raw"), pages[path_col].alias("path"))
-    return p.mapInPandas(run, "id long, host string, page long, seq int, kind string, element string, text string, hash long, once boolean")
-
-
-def mark_templates(blocks: DataFrame, least_pages: int = 10, share: float = 0.3, least_chars: int = 20) -> DataFrame:
-    """blocks + `template`: runs of subtrees of together at least `least_chars`
-    characters that each stand on at least `least_pages` pages and `share` of the
-    host's pages with markup of their kind; so the short items of a menu count as
-    the menu.
-
-    Pages count once for all copies of a text, and are combined before the shuffle,
-    so a host that holds a third of all pages is pre-aggregated; a null host has no
-    template."""
-    once = blocks.where("once AND host IS NOT NULL AND kind IS NOT NULL")
-    per = once.where("text <> ''").select("host", "kind", "hash", "page").distinct().groupBy("host", "kind", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    hosts = once.select("host", "kind", "page").distinct().groupBy("host", "kind").agg(F.count("*").alias("all_pages"))
-    often = per.join(broadcast_if_small(hosts), ["host", "kind"]).where(F.col("pages") >= F.lit(share) * F.col("all_pages"))
-    often = often.select("host", "hash", F.lit(True).alias("often"))
-    b = blocks.join(broadcast_if_small(often), ["host", "hash"], "left").withColumn("often", F.coalesce("often", F.lit(False)))
-    b = b.withColumn("run", F.count_if(~F.col("often") & (F.col("text") != "")).over(Window.partitionBy("id").orderBy("seq")))
-    chars = F.sum(F.when(F.col("often"), F.length("text"))).over(Window.partitionBy("id", "run"))
-    return b.withColumn("template", F.col("often") & (chars >= least_chars)).drop("often", "run")
-
-
-def markup(pages: DataFrame, id_col: str = "id", host_col: str = "source_repo", text_col: str = "raw_content", path_col: str = "source_path") -> tuple[DataFrame, DataFrame]:
-    """(found, clean): found(id, kind, element, n) as stated for the problem;
-    clean(id, text): the text without markup and template, with `#` before
-    headings, `-` before list items, code fenced and formulas between `$`."""
-    blocks = cut_lineage(page_blocks(pages, id_col, host_col, text_col, path_col))
-    marked = mark_templates(blocks)
-    # all subtrees count, the template's too
-    n = blocks.where("kind IS NOT NULL").groupBy("id", "kind").agg(
-        *[F.sum(F.when(F.col("element") == e, 1).otherwise(0)).cast("int").alias(e) for e in ("heading", "list_item", "code_block", "formula")]
-    )
-    each = F.array(*[F.struct(F.lit(e).alias("element"), F.col(e).alias("n")) for e in ("heading", "list_item", "code_block", "formula")])
+    return p.mapInArrow(run, "id long, host string, page long, leaves array<struct<kind:string,element:string,text:string,over:array<long>>>, nodes array<struct<kind:string,hash:long>>")
+
+
+def templates(trees: DataFrame, least_pages: int, share: float) -> DataFrame:
+    """(host, often[]): hashes of the subtrees that stand on at least
+    `least_pages` pages and `share` of the host's pages with markup of their kind.
+
+    Pages count once for all copies of a text, and pairs are combined before the
+    shuffle, so a host that holds a third of all pages is pre-aggregated.  A page
+    has few subtrees, so at most its number over `share` can be that frequent: the
+    array of a host is bounded by the length of its pages."""
+    n = trees.where("host IS NOT NULL").select("host", "page", F.explode("nodes").alias("n")).select("host", "page", "n.kind", "n.hash").distinct()
+    per = n.groupBy("host", "kind", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    kinds = F.array_compact(F.array_distinct(F.transform("leaves", lambda x: x["kind"])))
+    hosts = trees.where("host IS NOT NULL").select("host", "page", F.explode(kinds).alias("kind")).distinct().groupBy("host", "kind").agg(F.count("*").alias("all_pages"))
+    often = per.join(hosts, ["host", "kind"]).where(F.col("pages") >= F.lit(share) * F.col("all_pages"))
+    return often.groupBy("host").agg(F.collect_set("hash").alias("often"))
+
+
+ELEMENTS = ("heading", "list_item", "code_block", "formula")
+
+
+def markup(pages: DataFrame, id_col: str = "id", host_col: str = "source_repo", text_col: str = "raw_content", path_col: str = "source_path", least_pages: int = 10, share: float = 0.3, least_chars: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(found, clean): found(id, kind, element, n) as stated for the problem: the
+    leaves of all subtrees, template or not; clean(id, text): the text without
+    markup and template, with `#` before headings, `-` before list items, code
+    fenced and formulas between `$`.  A null host has no template; rows with the
+    same id are counted together and each cleaned."""
+    trees = cut_lineage(page_trees(pages, id_col, host_col, text_col, path_col, least_chars))
+    leaf = trees.select("id", F.explode("leaves").alias("x")).where("x.kind IS NOT NULL").groupBy("id", "x.kind")
+    n = leaf.agg(*[F.count_if(F.col("x.element") == e).cast("int").alias(e) for e in ELEMENTS])
+    each = F.array(*[F.struct(F.lit(e).alias("element"), F.col(e).alias("n")) for e in ELEMENTS])
     some = F.filter(each, lambda s: s["n"] >= 1)
     rows = F.when(F.size(some) > 0, some).otherwise(F.array(F.struct(F.lit("none").alias("element"), F.lit(0).alias("n"))))
     found = n.select("id", "kind", F.explode(rows).alias("r")).select("id", "kind", "r.element", "r.n")
+    return found, cleaned(trees, templates(trees, least_pages, share))
+
+
+def cleaned(trees: DataFrame, often: DataFrame) -> DataFrame:
+    """(id, text) of pages without the leaves that a template subtree holds; the
+    page is one row, so nothing is grouped."""
+    often = broadcast_if_small(often)
+    kept = F.filter("leaves", lambda x: (x["text"] != "") & ~F.coalesce(F.arrays_overlap(x["over"], F.col("often")), F.lit(False)))
     tick = "```"
-    line = (
-        F.when(F.col("element") == "heading", F.concat(F.lit("# "), "text"))
-        .when(F.col("element") == "list_item", F.concat(F.lit("- "), "text"))
-        .when(F.col("element") == "code_block", F.concat(F.lit(tick + "\n"), "text", F.lit("\n" + tick)))
-        .when(F.col("element") == "formula", F.concat(F.lit("$"), "text", F.lit("$")))
-        .otherwise(F.col("text"))
-    )
-    kept = marked.where("NOT template AND text <> ''").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("lines"))
-    clean = marked.select("id").distinct().join(kept, "id", "left").select("id", F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n"), F.lit("")).alias("text"))
-    return found, clean
+
+    def line(x):
+        return (
+            F.when(x["element"] == "heading", F.concat(F.lit("# "), x["text"]))
+            .when(x["element"] == "list_item", F.concat(F.lit("- "), x["text"]))
+            .when(x["element"] == "code_block", F.concat(F.lit(tick + "\n"), x["text"], F.lit("\n" + tick)))
+            .when(x["element"] == "formula", F.concat(F.lit("$"), x["text"], F.lit("$")))
+            .otherwise(x["text"])
+        )
+
+    return trees.where(F.size("leaves") > 0).join(often, "host", "left").select("id", F.array_join(F.transform(kept, line), "\n\n").alias("text"))

@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from conftest import rows
 
-from loomspan.llm.markup import markup, parse_page
+from loomspan.llm.markup import markup, parse_page, subtrees
 
 
 def counts(text, path="a/SKILL.md"):
@@ -73,3 +75,39 @@ def test_template_of_a_mixed_host(spark):
     assert text[3] == "# Page 3\n\n# Usage\n\nBody 3"
     assert text[100] == "# Note 0\n\nplain markdown 0" and text[205] == "x = 5"
     assert text[305] == "# One page that is copied whole\n\nIt has a body of its own"
+
+
+def test_subtrees_are_nested():
+    events = []
+    leaves = parse_page("<nav><ul><li>A</li><li>B</li></ul></nav>\n<div>\n<h2>T</h2>\n<p>x</p>\n<footer>f</footer>\n<p>y", "a/p.html", events)
+    assert [x[2] for x in leaves] == ["A", "B", "T", "x", "f", "y"]
+    assert subtrees(leaves, events) == [("list", 0, 2), ("nav", 0, 2), ("ul", 0, 2), ("div", 2, 6), ("section", 2, 6)]
+    assert subtrees(parse_page("# A\n\n- x\n- y\n\nz\n\n# B\n\nw", "a.md"), []) == [("section", 0, 4), ("list", 1, 3), ("section", 4, 6)]
+    assert subtrees([], []) == []
+
+
+def test_planted_templates_leave_and_all_else_stays(spark):
+    """Menus, banners and footers in html, Markdown and wiki pages of three hosts
+    against the texts they were planted in."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    sentence = lambda: " ".join(word() for _ in range(6)) + "."
+    plant = {
+        "p.html": ("<nav>\n<ul>\n<li>Home</li>\n<li>Docs<ul>\n<li>Guide</li>\n<li>API</li>\n</ul></li>\n</ul>\n</nav>\n", "\n<footer>\n<p>About</p>\n<div><p>Made by the people of this host</p></div>\n</footer>"),
+        "p.md": ("- Home\n- Docs\n- Source code\n- Contact us\n\n## Before you start\n\nRead the rules of this host.\n\n", "\n\n# About\n\nMade by the people of this host.\n"),
+        "p.wiki": ("* Home page\n* Docs of the host\n* Contact us\n\n", "\n\n== About ==\n\nMade by the people of this host.\n"),
+    }
+    heading = {"p.html": "<h1>{}</h1>\n<p>{}</p>\n<p>{}</p>", "p.md": "# {}\n\n{}\n\n**{}**", "p.wiki": "== {} ==\n\n{}\n\n'''{}'''"}
+    data, want = [], {}
+    for h in range(3):
+        for path, (before, after) in plant.items():
+            for _ in range(12):
+                i = len(data)
+                a, b, c = word(), sentence(), sentence()
+                data.append((i, f"host{h}", f"x/{path}", before.replace("host", f"host{h}") + heading[path].format(a, b, c) + after.replace("host", f"host{h}")))
+                want[i] = f"# {a}\n\n{b}\n\n{c}"
+    once = len(data)
+    data.append((once, "other", "x/p.html", plant["p.html"][0] + "<p>body</p>" + plant["p.html"][1]))
+    got = dict(rows(markup(spark.createDataFrame(data, "id long, source_repo string, source_path string, raw_content string"))[1]))
+    assert "- Guide" in got.pop(once)
+    assert got == want
