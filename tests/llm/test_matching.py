@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomspan.llm.matching import BKTree, Matcher, damerau, levenshtein, map_to_reference, match_names
+from loomspan.llm.matching import BKTree, Forest, Matcher, damerau, levenshtein, map_to_reference, match_names
 
 WORDS = st.text("abcde", max_size=9)
 
@@ -79,3 +80,38 @@ def test_rows_and_shards(spark):
     assert rows(match_names(d, ref, shard_entries=2)) == rows(match_names(d, ref))
     assert rows(map_to_reference(d, ref.where("false"))) == sorted([(i, "unmatched") for i in (1, 2, 3, 4, 5, 5)])
     assert map_to_reference(d.where("false"), ref).count() == 0
+
+
+def test_forest_finds_what_the_tree_finds():
+    r = random.Random(3)
+    keys = sorted({"".join(r.choices("abcd", k=7)) for _ in range(200)})
+    t = BKTree()
+    for k in keys:
+        t.add(k)
+    code = {c: i + 1 for i, c in enumerate("abcd")}
+    forest = Forest(t, code)
+    asked = ["".join(r.choices("abcde", k=6)) for _ in range(50)]
+    query = np.array([[code.get(c, 0) for c in q] for q in asked])
+    for rad in (1, 2, 4):
+        got = {(int(q), forest.keys[n], int(d)) for qs, ns, ds in forest.within(query, rad) for q, n, d in zip(qs, ns, ds)}
+        assert got == {(i, k, levenshtein(k, q)) for i, q in enumerate(asked) for k in keys if levenshtein(k, q) <= rad}
+
+
+def test_shards_answer_as_one(spark):
+    """Cut words that two entries share, spellings two entries share, and ties."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(4, 8)))
+    entries = [("alpha_review", ["shared name"]), ("alpha_revenue", ["shared name"]), ("beta_tides", None), ("beta_tiles", [])] + [(f"{word()}_{word()}", [word()]) for _ in range(60)]
+    entries.append(entries[-1])
+    ref = spark.createDataFrame(entries, "canonical string, aliases array<string>")
+    names = ["alpha rev", "alpha revi", "shared name", "sharde name", "beta tibes", "tides beta", None, "", "x"]
+    for c, _ in entries:
+        for _ in range(2):
+            t = list(c.replace("_", " "))
+            t[r.randrange(len(t))] = r.choice("abcdefgh ")
+            names.append("".join(t))
+    d = spark.createDataFrame([(n,) for n in names], "name string")
+    whole = rows(match_names(d, ref))
+    assert ("alpha rev", "unmatched", None) in whole and ("alpha revi", "alpha_review", 1) in whole and ("shared name", "alpha_revenue", 0) in whole
+    for size, group in ((7, 20), (20, 1000), (1, 50)):
+        assert rows(match_names(d, ref, shard_entries=size, group_names=group)) == whole
