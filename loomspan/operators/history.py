@@ -1,10 +1,10 @@
 """History of changing attributes (problem 6): periods by tree reduction.
 
 Every version row is a unit interval.  Neighbouring runs of one entity with
-equal payload are merged pairwise over logarithmic rounds: first inside blocks
-(entity, stretch of time), then over the edges of the blocks.  A block is what
-one task sees of an entity, so an entity that holds a third of all rows is spread
-over as many tasks as it has stretches of time.
+equal payload are merged pairwise over logarithmic rounds: first inside blocks,
+then the blocks of an entity are merged by their outer payloads in the same way.
+Blocks are ranges of (entity, time) of about equal numbers of rows, so an entity
+that holds a third of all rows is spread over a third of the tasks.
 """
 
 from __future__ import annotations
@@ -13,25 +13,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.session import cut_lineage, shuffle_width
+from loomspan.session import broadcast_if_small, cut_lineage, shuffle_width
 
 _BLOCK = "entity string, block long, kind string, at long, row long, payload string, next_at long, second_at long, last_payload string"
 
 
-def tree_starts(entity: np.ndarray, payload: np.ndarray) -> np.ndarray:
-    """Which unit intervals start a run, found by merging neighbours pairwise:
-    round r joins blocks of 2**r units, and only the border between the two
-    halves can fall away."""
-    n = len(entity)
-    starts = np.ones(n, bool)
-    width = 1
-    while width < n:
-        border = np.arange(width, n, 2 * width)
-        starts[border] &= (entity[border] != entity[border - 1]) | (payload[border] != payload[border - 1])
-        width *= 2
+def merge_runs(entity: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of the given runs start a merged one.
+
+    A run has an entity, the payload it begins with and the one it ends with.  In
+    each round every other run is merged with its right neighbour if that is of
+    the same entity and goes on with the same payload; the next round pairs them
+    the other way.  A stretch of equal runs halves with each round; it ends when
+    neither pairing merges any."""
+    lo = np.arange(len(entity))
+    hi = lo.copy()
+    side, idle = 0, 0
+    while len(lo) > 1 and idle < 2:
+        left = np.arange(side, len(lo) - 1, 2)
+        right = left + 1
+        same = (entity[hi[left]] == entity[lo[right]]) & (last[hi[left]] == first[lo[right]])
+        if same.any():
+            hi[left[same]] = hi[right[same]]
+            keep = np.ones(len(lo), bool)
+            keep[right[same]] = False
+            lo, hi = lo[keep], hi[keep]
+            idle = 0
+        else:
+            idle += 1
+        side = 1 - side
+    starts = np.zeros(len(entity), bool)
+    starts[lo] = True
     return starts
 
 
@@ -46,7 +61,7 @@ def _reduce_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ent = (b["entity"] + "\x00" + b["block"].astype(str)).to_numpy(object)
         pay = b["payload"].to_numpy(object)
         at, row = b["at"].to_numpy(np.int64), b["row"].to_numpy(np.int64)
-        starts = tree_starts(ent, pay)
+        starts = merge_runs(ent, pay, pay)
         if now is not None and now["ent"] == ent[0] and now["last"] == pay[0]:
             starts[0] = False
         head = np.ones(len(ent), bool)
@@ -91,30 +106,43 @@ def _frame(out: list[tuple]) -> pd.DataFrame:
     return d.astype({"row": "Int64", "next_at": "Int64", "second_at": "Int64"})
 
 
-def periods(units: DataFrame, block_us: int = 90 * 86_400_000_000) -> DataFrame:
+def _merge_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(entity, blocks[]) -> (entity, block, goes_on, after): whether a block's
+    first run belongs to the one before it, and the next start after the block."""
+    for b in batches:
+        out: list[tuple] = []
+        for entity, blocks in zip(b["entity"], b["blocks"]):
+            blocks = sorted(blocks, key=lambda x: x["block"])
+            text = lambda k: np.array([x[k] for x in blocks], object)
+            starts = merge_runs(np.zeros(len(blocks), np.int64), text("payload"), text("last_payload"))
+            after = None
+            for x, begins in zip(reversed(blocks), reversed(starts)):
+                out.append((entity, x["block"], not begins, after))
+                after = x["at"] if begins else x["second_at"] if x["second_at"] is not None else after
+        yield pd.DataFrame(out, columns=["entity", "block", "goes_on", "after"]).astype({"after": "Int64"})
+
+
+def periods(units: DataFrame) -> DataFrame:
     """(entity, row, at, next_at) of every period.
 
     units(entity, at, row, payload): one row per entity and instant `at`
     (microseconds); equal payload strings are equal attributes.  next_at is the
-    start of the next period, null for the last one."""
-    spark = units.sparkSession
+    start of the next period, null for the last one.  Only entities that reach
+    over the border of two ranges have more than one block, so there are at most
+    as many of these as ranges, and their blocks fit a small table."""
     blocks = (
-        units.withColumn("block", F.floor(F.col("at") / F.lit(block_us)).cast("long"))
-        .repartition(shuffle_width(spark), "entity", "block")
+        units.repartitionByRange(shuffle_width(units.sparkSession), "entity", "at")
+        .withColumn("block", F.spark_partition_id().cast("long"))
         .sortWithinPartitions("entity", "block", "at")
         .select("entity", "block", "at", "row", "payload")
         .mapInPandas(_reduce_blocks, _BLOCK)
     )
     blocks = cut_lineage(blocks)
-    # the last round: borders between the blocks of an entity, one row per block
-    w = Window.partitionBy("entity").orderBy("block")
-    edges = blocks.where("kind = 'edge'").select("entity", "block", "at", "payload", "second_at", "last_payload")
-    edges = edges.withColumn("goes_on", F.coalesce(F.lag("last_payload").over(w) == F.col("payload"), F.lit(False)))
-    edges = edges.withColumn("first_start", F.when(~F.col("goes_on"), F.col("at")).otherwise(F.col("second_at")))
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    edges = edges.withColumn("after", F.first("first_start", ignorenulls=True).over(after)).select("entity", "block", "goes_on", "after")
-    runs = blocks.where("kind <> 'edge'").join(edges, ["entity", "block"])
-    return runs.where(~((F.col("kind") == "first") & F.col("goes_on"))).select("entity", "row", "at", F.coalesce("next_at", "after").alias("next_at"))
+    edges = blocks.where("kind = 'edge'").groupBy("entity").agg(F.count("*").alias("n"), F.collect_list(F.struct("block", "at", "payload", "second_at", "last_payload")).alias("blocks"))
+    over = edges.where("n > 1").select("entity", "blocks").mapInPandas(_merge_blocks, "entity string, block long, goes_on boolean, after long")
+    runs = blocks.where("kind <> 'edge'").join(broadcast_if_small(over), ["entity", "block"], "left")
+    runs = runs.where(~((F.col("kind") == "first") & F.coalesce("goes_on", F.lit(False))))
+    return runs.select("entity", "row", "at", F.coalesce("next_at", "after").alias("next_at"))
 
 
 def version_units(versions: DataFrame, attributes: tuple[str, ...]) -> DataFrame:

@@ -6,22 +6,26 @@ import numpy as np
 import pytest
 from conftest import rows
 
-from loomspan.operators.history import periods, skill_history, tree_starts
+from loomspan.operators.history import merge_runs, periods, skill_history
 
 
-def test_tree_starts_equals_neighbour_compare():
+def test_merged_runs_equal_neighbour_compare():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 3, 17, 256, 1000):
         e, p = np.sort(rng.integers(0, 5, n)), rng.integers(0, 2, n)
         want = np.ones(n, bool)
         want[1:] = (e[1:] != e[:-1]) | (p[1:] != p[:-1])
-        assert (tree_starts(e, p) == want).all()
+        assert (merge_runs(e, p, p) == want).all()
+    # runs that begin with one payload and end with another
+    first, last = np.array(list("abbcaa")), np.array(list("bbcaab"))
+    assert merge_runs(np.zeros(6, int), first, last).tolist() == [True, False, False, False, False, False]
+    assert merge_runs(np.array([0, 0, 1, 1, 1, 2]), first, last).tolist() == [True, False, True, False, False, True]
 
 
-@pytest.mark.parametrize("block", [1, 7, 1000])
-def test_periods_over_blocks_and_batches(spark, block):
+@pytest.mark.parametrize("ranges", [1, 4, 40])
+def test_periods_over_blocks_and_batches(spark, ranges):
     """A hot entity is spread over blocks; the result does not depend on them."""
-    random.seed(block)
+    random.seed(ranges)
     units = [("hot", t, t * 10, random.choice("aab")) for t in range(0, 300)] + [(f"e{i}", t, i * 1000 + t, random.choice("xy")) for i in range(20) for t in random.sample(range(50), 4)]
     df = spark.createDataFrame(units, "entity string, at long, row long, payload string").repartition(3)
     want = []
@@ -30,10 +34,12 @@ def test_periods_over_blocks_and_batches(spark, block):
         starts = [u for i, u in enumerate(mine) if i == 0 or u[3] != mine[i - 1][3]]
         want += [(e, u[2], u[1], starts[i + 1][1] if i + 1 < len(starts) else None) for i, u in enumerate(starts)]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    spark.conf.set("spark.sql.shuffle.partitions", str(ranges))
     try:
-        assert rows(periods(df, block).select("entity", "row", "at", "next_at")) == sorted(want, key=repr)
+        assert rows(periods(df).select("entity", "row", "at", "next_at")) == sorted(want, key=repr)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 V = "id long, skill_id string, version_id string, imported_at timestamp_ntz, last_checked_at timestamp_ntz, name string, summary string, domain_primary string, entity string, row string"
