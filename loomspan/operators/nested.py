@@ -1,15 +1,18 @@
 """Nested records into flat tables that keep the parent link (problem 7).
 
-Each record is parsed once into (path, ordinals, value) triples.  Paths are
-grouped by their repeated ancestor (a list element ``[]`` or an object key
-``*``), and each group is pivoted into the rows of one table.  A record never
-leaves its row, so no shuffle is needed however deep it is.
+Each record is read once as a stream of tokens and leaves (path, ordinals, value)
+triples; the nested value itself is never built, and neither depth nor JSON
+wrapped in strings has a limit.  Paths are grouped by their repeated ancestor (a
+list element ``[]`` or an object key ``*``), and each group is pivoted into the
+rows of one table.  A record never leaves its row, so no shuffle is needed
+however deep it is.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -27,47 +30,135 @@ class Child:
     above: tuple[str, ...] | None = None
 
 
-def _no_constant(x: str):
-    raise ValueError(x)
-
-
-def parse_json(text: str | None):
-    """The value of a JSON text, unwrapping JSON inside JSON strings; None for
-    null, blank and invalid text."""
-    for _ in range(8):
-        if not isinstance(text, str):
-            return text
-        try:
-            text = json.loads(text, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
-            return None
-    return None
-
-
-def triples(value, keyed: frozenset[tuple[str, ...]] = frozenset(), path: tuple[str, ...] = (), at: tuple = ()) -> Iterator[tuple[tuple[str, ...], tuple, object]]:
-    """(path, ordinals, scalar) of every scalar; empty containers give None.
-
-    Iterative, so deep records do not exhaust the stack.  Objects at a path in
-    `keyed` are maps: their keys are ordinals and the path gets ``*``."""
-    todo = [(path, at, value)]
-    while todo:
-        p, o, v = todo.pop()
-        if isinstance(v, str) and v[:1] in "[{\"" and v[-1:] in "]}\"" and len(v) > 1:
-            inner = parse_json(v)
-            if isinstance(inner, (dict, list)):
-                v = inner
-        if isinstance(v, dict):
-            if not v:
-                yield p, o, None
-            for k, x in reversed(v.items()):
-                todo.append((p + ("*",), o + (k,), x) if p in keyed else (p + (k,), o, x))
-        elif isinstance(v, list):
-            if not v:
-                yield p, o, None
-            for i in range(len(v) - 1, -1, -1):
-                todo.append((p + ("[]",), o + (i,), v[i]))
+#: Values of a triple for containers without content.
+EMPTY_OBJECT, EMPTY_LIST = object(), object()
+_WS = re.compile(r"[ \t\n\r]*")
+_STRING = re.compile(r'"((?:[^"\\\x00-\x1f]|\\.)*)"')
+_KEY = re.compile(r'[ \t\n\r]*"((?:[^"\\\x00-\x1f]|\\.)*)"[ \t\n\r]*:[ \t\n\r]*')
+_ATOM = re.compile(r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|true|false|null")
+_AFTER = re.compile(r"[ \t\n\r]*([,\]}])[ \t\n\r]*")
+_NO_MORE = re.compile(r"[ \t\n\r]*[\]}]")
+#: A triple: keys and list positions down to the value, and the value.
+Triple = tuple[tuple[str | int, ...], object]
+
+
+def _text(raw: str) -> str:
+    """The text of a JSON string without its quotes; half a surrogate pair
+    becomes the replacement character."""
+    if "\\" not in raw:
+        return raw
+    return json.loads(f'"{raw}"').encode("utf-8", "surrogatepass").decode("utf-8", "replace")
+
+
+def scan(text: str) -> list[Triple]:
+    """The triples of a JSON text in order; ValueError if it is not valid.
+
+    One pass over the tokens with a stack of open containers.  JSON text inside a
+    JSON string counts as that JSON.  Of a key that occurs twice in one object the
+    last value counts."""
+    out: list[Triple | None] = []
+    steps: list[str | int] = []
+    stack: list[dict | None] = []  # per open container: where the values of an object's keys lie, None for a list
+    pos = _WS.match(text).end()
+    while True:
+        c = text[pos : pos + 1]
+        if c == "{":
+            if m := _KEY.match(text, pos + 1):
+                key = _text(m[1])
+                stack.append({key: len(out)})
+                steps.append(key)
+                pos = m.end()
+                continue
+            m = _NO_MORE.match(text, pos + 1)
+            if not m or m[0][-1] != "}":
+                raise ValueError(pos)
+            out.append((tuple(steps), EMPTY_OBJECT))
+        elif c == "[":
+            m = _NO_MORE.match(text, pos + 1)
+            if not m:
+                stack.append(None)
+                steps.append(0)
+                pos = _WS.match(text, pos + 1).end()
+                continue
+            if m[0][-1] != "]":
+                raise ValueError(pos)
+            out.append((tuple(steps), EMPTY_LIST))
+        elif c == '"':
+            if not (m := _STRING.match(text, pos)):
+                raise ValueError(pos)
+            value = _text(m[1])
+            inner = unwrapped(value)
+            if inner is None:
+                out.append((tuple(steps), value))
+            else:
+                at = tuple(steps)
+                out.extend((at + p, v) for p, v in inner)
         else:
-            yield p, o, v
+            if not (m := _ATOM.match(text, pos)):
+                raise ValueError(pos)
+            out.append((tuple(steps), float(m[1]) if m[1] else {"true": True, "false": False}.get(m[0])))
+        pos = m.end()
+        while True:  # after a value
+            if not stack:
+                if _WS.match(text, pos).end() != len(text):
+                    raise ValueError(pos)
+                return [x for x in out if x is not None]
+            if not (m := _AFTER.match(text, pos)):
+                raise ValueError(pos)
+            pos, top = m.end(), stack[-1]
+            if m[1] == ",":
+                if top is None:
+                    steps[-1] += 1
+                else:
+                    if not (m := _KEY.match(text, pos)):
+                        raise ValueError(pos)
+                    key, pos = _text(m[1]), m.end()
+                    if key in top:
+                        _forget(out, tuple(steps[:-1]) + (key,), top[key])
+                    top[key] = len(out)
+                    steps[-1] = key
+                break
+            if (m[1] == "]") != (top is None):
+                raise ValueError(pos)
+            stack.pop()
+            steps.pop()
+
+
+def _forget(out: list, path: tuple, start: int) -> None:
+    """Takes the triples below a path away, from where they start."""
+    i = start
+    while i < len(out) and out[i] is not None and out[i][0][: len(path)] == path:
+        out[i] = None
+        i += 1
+
+
+def unwrapped(value: str) -> list[Triple] | None:
+    """The triples of the object or list that a string holds as JSON, however
+    often it is wrapped (each time at least its quotes more); else None."""
+    if value[:1] not in ("{", "[", '"') or value[-1:] not in ("}", "]", '"') or len(value) < 2:
+        return None
+    try:
+        found = scan(value)
+    except ValueError:
+        return None
+    return found if found and (found[0][0] or found[0][1] in (EMPTY_OBJECT, EMPTY_LIST)) else None
+
+
+def placed(found: Iterable[Triple], keyed: frozenset[tuple[str, ...]] = frozenset()) -> Iterator[tuple[tuple[str, ...], tuple, object]]:
+    """(path, ordinals, value): list positions become ordinals and the path gets
+    ``[]``; objects at a path in `keyed` are maps, their keys are ordinals and the
+    path gets ``*``."""
+    for steps, value in found:
+        path: tuple[str, ...] = ()
+        at: tuple = ()
+        for s in steps:
+            if isinstance(s, int):
+                path, at = path + ("[]",), at + (s,)
+            elif path in keyed:
+                path, at = path + ("*",), at + (s,)
+            else:
+                path += (s,)
+        yield path, at, value
 
 
 def _ancestor(path: tuple[str, ...]) -> int:
@@ -77,15 +168,20 @@ def _ancestor(path: tuple[str, ...]) -> int:
     return 0
 
 
-def pivot(found: Iterator[tuple[tuple[str, ...], tuple, object]]) -> dict[tuple[str, ...], dict[tuple, dict[str, object]]]:
+def pivot(found: Iterable[tuple[tuple[str, ...], tuple, object]]) -> dict[tuple[str, ...], dict[tuple, dict[str, object]]]:
     """Groups of triples by repeated ancestor: {ancestor: {ordinals: {leaf: value}}}.
 
-    An element is present in all its ancestors' groups, so that the parent of a
-    child is found even if it has no scalar of its own."""
+    An element is present in the groups of all its repeated ancestors, so that it
+    and the parent of a child are found even without a scalar of their own."""
     groups: dict = {}
     for path, at, value in found:
         n = _ancestor(path)
         groups.setdefault(path[:n], {}).setdefault(at, {})[".".join(path[n:])] = value
+        k = len(at) - 1
+        for i in range(n - 2, -1, -1):
+            if path[i] in ("[]", "*"):
+                groups.setdefault(path[: i + 1], {}).setdefault(at[:k], {})
+                k -= 1
     return groups
 
 
@@ -127,31 +223,30 @@ AGENTS = (Child("target", ("agents", "*")), Child("blocker", ("agents", "*", "bl
 TOP = (Child("target", ("*",)), Child("blocker", ("*", "blockers", L), above=("*",)))
 
 
+def _is_object(found: list[Triple], key: str) -> bool:
+    return any(p[0] == key and (v is EMPTY_OBJECT if len(p) == 1 else isinstance(p[1], str)) for p, v in found)
+
+
 def _rows(column: str, text: str | None) -> Iterator[tuple[str, str, int, str]]:
-    value = parse_json(text)
-    if not isinstance(value, dict):
+    if text is None or not text.strip():
+        return
+    try:
+        found = scan(text)
+    except ValueError:
+        return
+    if not found or not found[0][0] or not isinstance(found[0][0][0], str):  # no object, or an empty one
         return
     if column == "runtime_requirements":
-        yield from child_rows(pivot(triples(value)), REQUIREMENTS)
+        yield from child_rows(pivot(placed(found)), REQUIREMENTS)
     elif column == "security":
-        yield from child_rows(pivot(triples(value)), SECURITY)
+        yield from child_rows(pivot(placed(found)), SECURITY)
+    elif any(p[0] == "entries" and (v is EMPTY_LIST if len(p) == 1 else isinstance(p[1], int)) for p, v in found):
+        yield from child_rows(pivot(placed(found)), ENTRIES)
+    elif _is_object(found, "agents"):
+        yield from child_rows(pivot(placed(found, frozenset({("agents",)}))), AGENTS)
     else:
-        entries, agents = (parse_json(x) if isinstance(x := value.get(k), str) else x for k in ("entries", "agents"))
-        if isinstance(entries, list):
-            yield from child_rows(pivot(triples(value)), ENTRIES)
-        elif isinstance(agents, dict):
-            yield from child_rows(pivot(triples(value, frozenset({("agents",)}))), AGENTS)
-        else:
-            maps = {k: v for k, v in value.items() if isinstance(v, dict)}
-            for k in [k for k, v in maps.items() if not v]:
-                maps[k] = {"level": None}
-            yield from child_rows(_with_keys(pivot(triples(maps, frozenset({()}))), maps), TOP)
-
-
-def _with_keys(groups: dict, maps: dict) -> dict:
-    for k in maps:
-        groups.setdefault(("*",), {}).setdefault((k,), {})
-    return groups
+        maps = {k for k in {p[0] for p, _ in found} if _is_object(found, k)}
+        yield from child_rows(pivot(placed([x for x in found if x[0][0] in maps], frozenset({()}))), TOP)
 
 
 def nested_children(records: DataFrame, id_col: str = "id", columns: tuple[str, ...] = ("runtime_requirements", "compatibility", "security")) -> DataFrame:

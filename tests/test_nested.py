@@ -1,9 +1,10 @@
 import json
 import random
 
+import pytest
 from conftest import rows
 
-from loomspan.operators.nested import nested_children, parse_json, pivot, triples
+from loomspan.operators.nested import EMPTY_LIST, EMPTY_OBJECT, nested_children, pivot, placed, scan
 
 
 def children(spark, **cols):
@@ -36,11 +37,58 @@ def test_broken_and_absent(spark):
 
 
 def test_deep_records_do_not_overflow():
-    deep = {"a": 1}
-    for _ in range(5000):
-        deep = {"k": [deep]}
-    assert len(list(triples(deep))) == 1
-    assert parse_json("[" * 100_000) is None
+    assert len(scan('{"k": [' * 5000 + "1" + "]}" * 5000)) == 1
+    for broken in ("[" * 100_000, "{" * 1000, '{"a": [' * 1000):
+        with pytest.raises(ValueError):
+            scan(broken)
+
+
+def test_strings_in_strings_have_no_limit(spark):
+    t = '{"tools": ["a"]}'
+    for _ in range(14):
+        t = json.dumps(t)
+    assert children(spark, r=t) == [("tool", "", 0, "a")]
+
+
+def test_elements_without_scalars(spark):
+    assert children(spark, c='{"agents": {"a": {"blockers": ["x"]}, "b": {}}}') == [("blocker", "a", 0, "x"), ("target", "", -1, "a"), ("target", "", -1, "b")]
+    assert children(spark, c='{"a": {"blockers": ["x"]}, "b": 1}') == [("blocker", "a", 0, "x"), ("target", "", -1, "a")]
+
+
+def flat(v, path=()):
+    if isinstance(v, (dict, list)):
+        if not v:
+            return [(path, EMPTY_OBJECT if isinstance(v, dict) else EMPTY_LIST)]
+        return [x for k, w in (v.items() if isinstance(v, dict) else enumerate(v)) for x in flat(w, (*path, k))]
+    return [(path, v)]
+
+
+def test_scan_equals_the_library():
+    """Valid texts give the library's values, broken ones are refused by both."""
+    r = random.Random(11)
+
+    def some(d):
+        k = r.random()
+        if d == 0 or k < 0.35:
+            return r.choice([1, -2.5, 1e9, True, None, "", "x", 'q"\\\n', "ü\u2028\U0001f600", "{x", "a,b:c"])
+        return [some(d - 1) for _ in range(r.randint(0, 3))] if k < 0.65 else {r.choice(["a", "b", "ü", 'k"']): some(d - 1) for _ in range(r.randint(0, 3))}
+
+    for _ in range(300):
+        t = json.dumps(some(4), indent=r.choice([None, 1]), ensure_ascii=r.random() < 0.5)
+        assert scan(t) == flat(json.loads(t)), t
+        cut = list(t)
+        cut[r.randrange(len(cut))] = r.choice(list('{}[],:"x1 \\') + [""])
+        t = "".join(cut)
+        try:
+            want = flat(json.loads(t, parse_constant=float))
+        except ValueError:
+            want = None
+        try:
+            got = scan(t)
+        except ValueError:
+            got = None
+        assert got == want or "NaN" in t, t
+    assert scan('{"a": {"b": 1}, "c": 2, "a": [3]}') == [(("c",), 2), (("a", 0), 3)]
 
 
 def test_pivot_keeps_every_scalar():
@@ -52,6 +100,5 @@ def test_pivot_keeps_every_scalar():
         return [some(d - 1) for _ in range(random.randint(1, 3))] if random.random() < 0.5 else {f"k{i}": some(d - 1) for i in range(random.randint(1, 3))}
 
     for _ in range(200):
-        v = {"r": some(5)}
-        t = list(triples(v))
-        assert sum(len(leaves) for g in pivot(iter(t)).values() for leaves in g.values()) == len({(p, a) for p, a, _ in t}) == len(t)
+        t = list(placed(scan(json.dumps({"r": some(5)}))))
+        assert sum(len(leaves) for g in pivot(t).values() for leaves in g.values()) == len({(p, a) for p, a, _ in t}) == len(t)
