@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from loomspan.session import shuffle_width
 
 
+#: Rows of a bucket whose arrays one task holds (25 bytes each), and deliveries that
+#: the driver may list.
+BUCKET_ROWS, MOST_DELIVERIES = 4_000_000, 10_000
+
+
 def plain_hash(c: Column | str) -> Column:
     """A content hash without letter case, blanks around it and the name of the
     hash function in front; an empty one is null."""
@@ -54,10 +59,9 @@ def latest_records(snapshots: DataFrame) -> DataFrame:
                     plain_commit("source_commit_sha").alias("sha"),
                     F.col("source_path").alias("path"),
                 )
-            ).alias("r"),
-            F.max("sync_id").alias("sync_id"),
+            ).alias("r")
         )
-        .select("snapshot_no", "skill_id", "sync_id", "r.hash", "r.sha", "r.path")
+        .select("snapshot_no", "skill_id", "r.hash", "r.sha", "r.path")
     )
 
 
@@ -109,24 +113,28 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     table gives no rows.  If a hash is missing on either side the content counts
     as changed unless one commit is a leading part of the other."""
     spark = snapshots.sparkSession
+    # used twice with the same columns, so Spark shuffles and combines the rows once
     rec = latest_records(snapshots).withColumn("key", F.xxhash64("skill_id"))
     # one number per delivery, not per row
-    delivered = sorted(r[0] for r in snapshots.select("snapshot_no").distinct().collect() if r[0] is not None)
+    delivered = sorted(r[0] for r in snapshots.select("snapshot_no").where("snapshot_no IS NOT NULL").distinct().limit(MOST_DELIVERIES + 1).collect())
+    if len(delivered) > MOST_DELIVERIES:
+        raise ValueError(f"more than {MOST_DELIVERIES} deliveries")
+    buckets = max(shuffle_width(spark), -(-snapshots.count() // BUCKET_ROWS))
     compact = rec.select(
         "snapshot_no",
         "key",
         F.xxhash64(F.coalesce("hash", F.lit(""))).alias("content"),
         F.xxhash64(F.coalesce("path", F.lit("")), F.col("path").isNull()).alias("place"),
         F.col("hash").isNotNull().alias("sure"),
-    ).repartition(shuffle_width(spark), "key")
+    ).repartition(buckets, "key")
     suspects = compact.mapInPandas(_suspects(delivered), "later int, key long").distinct()
     # full values of the suspects only, once as the earlier and once as the later record
     both = suspects.select("later", "key", F.explode(F.array(F.col("later") - 1, F.col("later"))).alias("snapshot_no"))
     side = rec.join(both, ["snapshot_no", "key"])
     new = F.col("snapshot_no") == F.col("later")
     pair = side.groupBy("later", "skill_id").agg(
-        F.max(F.when(new, F.struct("sync_id", "hash", "sha", "path"))).alias("b"),
-        F.max(F.when(~new, F.struct("sync_id", "hash", "sha", "path"))).alias("a"),
+        F.max(F.when(new, F.struct("hash", "sha", "path"))).alias("b"),
+        F.max(F.when(~new, F.struct("hash", "sha", "path"))).alias("a"),
     )
     kin = F.coalesce(F.startswith(F.col("a.sha"), F.col("b.sha")) | F.startswith(F.col("b.sha"), F.col("a.sha")), F.lit(False))
     unknown = F.col("a.hash").isNull() | F.col("b.hash").isNull()
@@ -143,7 +151,7 @@ def snapshot_changes(snapshots: DataFrame) -> DataFrame:
     syncs = snapshots.where(F.col("snapshot_no").isNotNull()).groupBy(F.col("snapshot_no").alias("later")).agg(F.max("sync_id").alias("sync_id"))
     return (
         pair.select("later", "skill_id", F.explode(kinds).alias("change_type"), F.col("a.hash").alias("old_hash"), F.col("a.path").alias("old_path"))
-        .join(F.broadcast(syncs), "later", "left")  # a row per delivery
+        .join(syncs, "later", "left")
         .withColumnRenamed("later", "snapshot_no")
     )
 

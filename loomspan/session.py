@@ -31,11 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder of `spark.checkpoint.dir`.
 
-    The setting is read from the session; only where it is unset (tests, a
-    laptop) a temporary folder of this machine is used."""
+    The setting is read from the session.  Where it is unset, a local master may
+    use a temporary folder of its machine; on a cluster other machines could not
+    read that, so it is an error."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomspan-ck-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)
 
