@@ -19,7 +19,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspan.session import cut_lineage
+from loomspan.session import broadcast_if_small, cut_lineage
+
+
+#: A set with more copies than this is split over so many tasks.
+HOT, SALTS = 10_000, 64
 
 
 def plain_value(c: str | Column) -> Column:
@@ -111,20 +115,30 @@ def similar_classes(sets: DataFrame, threshold: float = 0.7, least: int = 4, bud
 
 
 def _classes(sets: DataFrame) -> DataFrame:
-    """Each set's class: the least id with the same set.  The 128-bit key and a
-    min aggregate keep a set that a third of the records share from one task."""
-    keyed = sets.withColumn("same", F.md5(F.to_json("tokens")))
-    first = keyed.groupBy("same").agg(F.min("id").alias("cls"))
-    return keyed.join(first, "same").select("id", "cls", "tokens")
+    """Each set's class: the least id with the same set.
+
+    The least id is combined before the shuffle.  It is joined back with one row
+    for each set, so the rows of a set that a third of the records share are
+    spread by a salt over many tasks, and its one row goes to each of them."""
+    keyed = cut_lineage(sets.withColumn("same", F.md5(F.to_json("tokens"))))
+    first = keyed.groupBy("same").agg(F.min("id").alias("cls"), F.count("*").alias("copies"))
+    salts = F.when(F.col("copies") > HOT, F.lit(SALTS)).otherwise(F.lit(1))
+    hot = first.where(F.col("copies") > HOT).select("same", F.lit(SALTS).alias("salts"))  # few: each has many rows
+    spread = keyed.join(broadcast_if_small(hot), "same", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("same", "salt", "cls")
+    return spread.join(first, ["same", "salt"]).select("id", "cls", "tokens")
 
 
 def _large(reps: DataFrame, threshold: float, least: int, budget: int) -> DataFrame:
     """Candidates for the size pairs with too many subsets: inverted lists of the
     rarest tokens.  Two sets of n and m values that share t have one of the
     n - t + 1 rarest of the one among the m - t + 1 rarest of the other."""
-    # the least size that has a partner with too many subsets
-    n0 = next(n for n in range(least, 10_000) if any(not enumerates(n, m, threshold, budget) for m in partners(n, threshold, least)))
-    big = reps.where(F.col("n") >= n0)
+    # the sizes that have a partner with too many subsets; beyond the first few
+    # every size has, unless only equal sets are similar
+    many = next((n for n in range(least, least + 1000) if any(not enumerates(n, m, threshold, budget) for m in partners(n, threshold, least))), None)
+    if many is None:
+        return reps.where("false").select(F.col("cls").alias("x"), F.col("cls").alias("y"))
+    big = reps.where(F.col("n") >= many)
     tok = big.select("cls", "n", F.explode("hashes").alias("h"))
     freq = tok.groupBy("h").agg(F.count("*").alias("f"))
     ranked = tok.join(freq, "h").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("r"))

@@ -3,6 +3,7 @@ import random
 import pytest
 from conftest import rows
 
+from loomspan.llm import setjoin
 from loomspan.llm.setjoin import need, record_sets, similar_classes, similar_pairs
 
 
@@ -50,3 +51,11 @@ def test_values(spark):
     t = spark.createDataFrame([(1, "data-flow"), (1, "b"), (1, "c"), (2, "c")], "fk long, v string")
     assert rows(record_sets([(c, "fk", "v"), (t, "fk", "v")], 2)) == [(1, ["0:data-flow", "1:b", "1:c", "1:data-flow"])]
     assert similar_pairs(record_sets([(c, "fk", "v")], 4)).count() == 0
+
+
+def test_threshold_one_and_hot_sets(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HOT", 5)
+    data = make(6, 40, 8)
+    sets = spark.createDataFrame(data, "id long, tokens array<string>").where("size(tokens) >= 4")
+    assert sorted(rows(similar_pairs(sets, 1.0))) == brute(data, 1.0, 4)
+    assert sorted(rows(similar_pairs(sets))) == brute(data, 0.7, 4)
