@@ -97,19 +97,28 @@ class Engine:
         for t, c in (("capabilities", "caps"), ("tags", "tags")):
             d = d.join(children(self.t[t], "name", c), d["id"] == F.col("version"), "left").drop("version")
         n = self.skills().select(F.col("id").alias("skill_id"), "version_count")
-        return d.drop("id").join(n, "skill_id").select(F.col("skill_id").alias("id"), F.coalesce("caps", none).alias("caps"), F.coalesce("tags", none).alias("tags"), "summary", "domain", "repo", "version_count", F.lit(None).cast("double").alias("quality"))
+        d = d.join(self.scores().select("id", F.col("overall").alias("quality")), "id", "left")
+        return d.drop("id").join(n, "skill_id").select(F.col("skill_id").alias("id"), F.coalesce("caps", none).alias("caps"), F.coalesce("tags", none).alias("tags"), "summary", "domain", "repo", "version_count", "quality")
 
-    def recommend(self, task: str | None = None, installed: list[str] | None = None, limit: int = 20) -> DataFrame:
+    def pairs(self) -> DataFrame:
+        return similarity.both_ways(self.detect_duplicates())
+
+    def recommend(self, task: str | None = None, installed: list[str] | None = None, limit: int = 20, reasons: tuple[str, ...] | None = None) -> DataFrame:
         have = self.spark.createDataFrame([(i,) for i in installed or []], "id string")
-        return recommend.recommend(self.rec_docs(), task, have, None, limit)
+        return recommend.recommend(self.rec_docs(), task, have, self.pairs() if installed else None, limit, reasons)
+
+    def recommend_for(self, record: str, limit: int = 10) -> DataFrame:
+        return recommend.recommend_for(self.rec_docs(), self.pairs(), record, limit)
+
+    def scores(self) -> DataFrame:
+        return scoring.score_versions(self.t["versions"].withColumn("stars", F.lit(0)), self.t["capabilities"], self.t["tags"], self.t["repositories"])
 
     # rules
     def classify(self, reference: DataFrame) -> DataFrame:
         return taxonomy.classify(self.t["capabilities"], reference)
 
-    def agent_fit(self, profiles: dict[str, tuple] | None = None) -> DataFrame:
-        v = self.versions().withColumn("t", F.concat_ws(" ", "summary", "raw_content"))
-        return scoring.agent_fit(v, "skill_id", "source_path", "t", profiles)
+    def agent_fit(self, profiles: dict[str, list[str]] | None = None) -> DataFrame:
+        return scoring.agent_fit(scoring.platform_signals(self.versions(), "skill_id", "source_path", "summary", "raw_content"), profiles)
 
     def dependencies(self) -> DataFrame:
         return parsing.packages(self.versions(), "skill_id", "raw_content")

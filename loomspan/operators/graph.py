@@ -18,24 +18,25 @@ def resolve(deps: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, external
 
 
-def closure(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): all pairs with a path, by its least length.
 
-    Semi-naive rounds: only the pairs found last are extended.  Each round is
-    checkpointed to the shared folder, so the plan does not grow and a lost
-    executor costs a round at most."""
-    edges = cut_lineage(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
-    known = edges.withColumn("depth", F.lit(1))
-    last, depth = known, 1
-    while depth < most_rounds:
-        depth += 1
-        step = last.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        fresh = cut_lineage(step.join(known, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        if fresh.isEmpty():
-            return known
-        known = cut_lineage(known.unionByName(fresh))
-        last = fresh
-    raise RuntimeError(f"a path is longer than {most_rounds}")
+    Rounds of doubling: pairs with paths of up to n steps are joined with one
+    another, which gives those of up to 2n, so a path of any length takes its
+    logarithm in rounds and there is no limit.  Each round is checkpointed to the
+    shared folder, so the plan does not grow and a lost executor costs a round at
+    most.  It ends when a round finds no new pair; lengths are least lengths
+    already, as every path of up to 2n steps has a middle within n of its ends."""
+    known = cut_lineage(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().withColumn("depth", F.lit(1)))
+    size = known.count()
+    while size:
+        a, b = known.alias("a"), known.alias("b")
+        longer = a.join(b, F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
+        known = cut_lineage(known.unionByName(longer).groupBy("src", "dst").agg(F.min("depth").alias("depth")))
+        before, size = size, known.count()
+        if size == before:
+            break
+    return known
 
 
 def cycles(reach: DataFrame) -> DataFrame:

@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,35 +17,57 @@ from loomspan.functions.text import json_value
 RUNTIME_WORDS = {name: p.removeprefix(r"\b(").removesuffix(r")\b").replace("python3?", "python|python3").split("|") for name, p in R.RUNTIMES.items()}
 
 
+def unix_lines(text: Column) -> Column:
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+
+
 def body(text: Column) -> Column:
     """Text without front matter, line ends as \\n."""
-    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    return F.regexp_replace(t, r"(?s)^---[ \t]*\n.*?\n---[ \t]*\n", "")
+    return F.regexp_replace(unix_lines(text), r"(?s)^---[ \t]*\n.*?\n---[ \t]*\n", "")
 
 
 def title(text: Column) -> Column:
     """The first top heading, '' without one."""
-    return F.trim(F.regexp_extract(body(text), r"(?m)^# +([^\n]+)", 1))
+    return F.trim(F.regexp_extract(text, r"(?dm)^#\s+(.+)", 1))
+
+
+def after_title(text: Column) -> Column:
+    head = F.regexp_extract(text, r"(?ds)\A(?:#\s+[^\n]+|.*?\n#\s+[^\n]+)", 0)
+    return F.substring(text, F.length(head) + 1, F.length(text))
 
 
-def first_paragraph(text: Column) -> Column:
-    """The first paragraph that is no heading, list, quote or code, whole."""
-    parts = F.split(body(text), r"\n[ \t]*\n")
-    plain = F.filter(parts, lambda p: (F.trim(p) != "") & ~F.trim(p).rlike(r"^(#|[-*+>|]|```|~~~|<|\d+[.)])"))
-    return F.trim(F.coalesce(F.get(plain, F.lit(0)), F.lit("")))
+def first_paragraph(text: Column, quoted: bool = False) -> Column:
+    """The first line after a blank one that is no heading, whole; with `quoted`
+    without the sign of a quotation."""
+    return F.trim(F.regexp_extract(text, r"\n\n(?:>\s*)?([^#\n][^\n]+)" if quoted else r"\n\n([^#\n][^\n]+)", 1))
 
 
 def sections(text: Column) -> Column:
     """array of (heading, body) by second-level headings, headings lower case."""
-    parts = F.split(F.concat(F.lit("\n"), body(text)), r"\n## +")
+    parts = F.split(F.concat(F.lit("\n"), text), r"\n[ \t]*##[ \t]+", -1)
     return F.transform(
-        F.slice(parts, 2, 10_000),
+        F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))),
         lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "\n", 1))).alias("heading"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("body")),
     )
 
 
 def bullets(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-*+] +([^\n]+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?d)[-*]\s+(.+)"), F.lit(1)), lambda x: F.trim(x))
+
+
+def bullets_of(parts: Column, headings: tuple[str, ...], each: int | None = None) -> Column:
+    """The bullets of the named sections in the order of the names; of equal
+    headings the last counts; of each section the first `each`."""
+    out = []
+    for h in headings:
+        last = F.try_element_at(_named(parts, h), F.lit(-1))
+        found = bullets(F.coalesce(last["body"], F.lit("")))
+        out.append(found if each is None else F.slice(found, 1, each))
+    return F.concat(*out)
+
+
+def _named(parts: Column, heading: str) -> Column:
+    return F.filter(parts, lambda s: s["heading"] == heading)
 
 
 def infer_domain(text: Column) -> Column:
@@ -60,17 +85,6 @@ def technology_tags(text: Column, most: int = 15) -> Column:
     return F.slice(F.array_sort(F.array_intersect(words, F.array(*[F.lit(x) for x in R.TECHNOLOGIES]))), 1, most)
 
 
-def file_format(path: Column, text: Column) -> Column:
-    """skill, agents or readme: the first parser that would take the file."""
-    name = F.lower(F.substring_index(F.coalesce(path, F.lit("")), "/", -1))
-    t = F.coalesce(text, F.lit(""))
-    return (
-        F.when((name == "skill.md") | t.rlike(r"(?m)^(name|description|summary):\s"), "skill")
-        .when((name == "agents.md") | F.lower(t).rlike(r"(?m)^#+ .*(agent|workflow)"), "agents")
-        .otherwise("readme")
-    )
-
-
 def packages(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, ecosystem, package) of install commands in a text, several per
     command; options and files are no packages."""
@@ -175,20 +189,94 @@ def dependency_record(deps: DataFrame) -> DataFrame:
     return deps.groupBy("id").agg(*[F.array_sort(F.collect_set(F.when(F.col("type") == t, one))).alias(k) for t, k in kinds.items()])
 
 
-def parse_files(docs: DataFrame, id_col: str, path: str, text: str) -> DataFrame:
-    """One row per file with all that the parsers extract, and a confidence from
-    what was found."""
-    t, p = F.col(text), F.col(path)
-    d = docs.select(
-        F.col(id_col).alias("id"),
-        file_format(p, t).alias("format"),
-        title(t).alias("name"),
-        F.when(file_format(p, t) == "skill", first_paragraph(t)).otherwise(F.substring(first_paragraph(t), 1, 200)).alias("summary"),
-        F.transform(sections(t), lambda s: s["heading"]).alias("headings"),
-        F.slice(bullets(body(t)), 1, 20).alias("capabilities"),
-        technology_tags(t).alias("tags"),
-        infer_domain(t).alias("domain"),
-    )
-    some = lambda c, w: F.when(c, F.lit(w)).otherwise(F.lit(0.0))
-    score = some(F.col("name") != "", 0.25) + some(F.col("summary") != "", 0.20) + some(F.size("capabilities") > 0, 0.25) + some(F.size("tags") > 0, 0.10) + some(F.col("domain") != "general", 0.10) + some(F.size("headings") > 0, 0.10)
-    return d.withColumn("confidence", F.round(score, 2))
+@dataclass(frozen=True)
+class Parser:
+    """A file parser: `accepts(name, text)` tells whether it takes a file (lower-case
+    file name, text), `fields(text, domain)` gives its columns as FIELDS."""
+
+    format: str
+    accepts: Callable[[Column, Column], Column]
+    fields: Callable[[Column, Column], dict[str, Column]]
+
+
+FIELDS = ("name", "summary", "headings", "capabilities", "tags", "dependencies", "compatibility", "confidence")
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _points(*rules: tuple[Column, float]) -> Column:
+    out = F.lit(0.0)
+    for c, w in rules:
+        out = out + F.when(c, F.lit(w)).otherwise(F.lit(0.0))
+    return F.round(F.least(out, F.lit(1.0)), 2)
+
+
+def _headings(parts: Column) -> Column:
+    return F.transform(parts, lambda x: x["heading"])
+
+
+def _skill(text: Column, domain: Column) -> dict[str, Column]:
+    t = body(text)
+    parts = sections(t)
+    named = bullets_of(parts, ("triggers", "when to use", "capabilities", "features", "what it does"))
+    first = F.filter(F.transform(parts, lambda x: bullets(x["body"])), lambda x: F.size(x) > 0)
+    caps = F.slice(F.when(F.size(named) > 0, named).otherwise(F.slice(F.coalesce(F.get(first, F.lit(0)), _none()), 1, 5)), 1, 20)
+    installs = F.regexp_extract_all(t, F.lit(r"```(?:bash|sh)?\n((?:npm|pip|cargo|brew|apt)\s+install[^\n]+)"), F.lit(1))
+    needs = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"(?i)(?:requires?|dependencies?):\s*([^\n]+)"), F.lit(1)), lambda x: F.transform(F.split(x, ","), lambda x: F.trim(x))))
+    out = {"name": title(t), "summary": first_paragraph(after_title(t)), "headings": _headings(parts), "capabilities": caps, "tags": technology_tags(text), "dependencies": F.slice(F.concat(F.transform(installs, lambda x: F.trim(x)), needs), 1, 10), "compatibility": bullets_of(parts, ("compatibility", "supported", "platforms", "ecosystems"))}
+    out["confidence"] = _points((out["name"] != "", 0.25), (out["summary"] != "", 0.2), (F.size(caps) > 0, 0.25), (domain != "general", 0.1), (F.size(out["tags"]) > 0, 0.1), (F.size(out["dependencies"]) > 0, 0.1))
+    return out
+
+
+def _agents(text: Column, domain: Column) -> dict[str, Column]:
+    t = unix_lines(text)
+    parts = sections(t)
+    caps = bullets_of(parts, ("workflow", "capabilities", "what you can do", "features"), 10)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    out = {"name": title(t), "summary": F.substring(first_paragraph(t), 1, 200), "headings": _headings(parts), "capabilities": caps, "tags": F.array_sort(F.array_intersect(words, F.array(*[F.lit(x) for x in R.AGENT_TECHNOLOGIES]))), "dependencies": _none(), "compatibility": _none()}
+    out["confidence"] = _points((out["name"] != "", 0.3), (out["summary"] != "", 0.2), (F.size(caps) > 0, 0.3), (F.size(out["tags"]) > 0, 0.2))
+    return out
+
+
+def _readme(text: Column, domain: Column) -> dict[str, Column]:
+    t = unix_lines(text)
+    badges = F.transform(F.slice(F.regexp_extract_all(t, F.lit(r"(?d)!\[.*?\]\(https?://img\.shields\.io/badge/([^-]+)"), F.lit(1)), 1, 5), lambda x: F.lower(F.trim(x)))
+    install = F.regexp_extract(t, r"(?is)##\s+(?:install|setup|getting\s+started)\s*\n(.*?)(?=##|\z)", 1)
+    commands = F.slice(F.regexp_extract_all(install, F.lit(r"```(?:bash|sh)?\n((?:npm|pip|cargo|brew|apt|yarn|pnpm)\s+[^\n]+)"), F.lit(1)), 1, 5)
+    caps = F.slice(bullets(F.regexp_extract(t, r"(?is)##\s+(?:features|what|capabilities)\s*\n(.*?)(?=##|\z)", 1)), 1, 10)
+    out = {"name": title(t), "summary": F.substring(first_paragraph(t, quoted=True), 1, 200), "headings": _headings(sections(t)), "capabilities": caps, "tags": badges, "dependencies": commands, "compatibility": _none()}
+    out["confidence"] = _points((out["name"] != "", 0.3), (out["summary"] != "", 0.2), (F.size(caps) > 0, 0.3), (F.size(badges) > 0, 0.1), (F.size(commands) > 0, 0.1))
+    return out
+
+
+PARSERS = (
+    Parser("skill", lambda name, t: F.endswith(name, F.lit("skill.md")) | t.rlike(r"(?im)^##\s+(?:when to use|triggers|differentiator|voice triggers|what|description|usage)|\btrigger\s+phrases?\b"), _skill),
+    Parser("agents", lambda name, t: F.endswith(name, F.lit("agents.md")) | F.lower(t).rlike(r"(?U)you are\b|agent\b|workflow\b|when (?:the )?user|## (?:rules|guidelines|tools|workflow)"), _agents),
+    Parser("readme", lambda name, t: F.startswith(name, F.lit("readme")) & F.endswith(name, F.lit(".md")), _readme),
+)
+
+
+def parse_files(docs: DataFrame, id_col: str, path: str, text: str, parsers: tuple[Parser, ...] = PARSERS, fallback: Parser = PARSERS[2], given: str | None = None) -> DataFrame:
+    """(id, format, domain, FIELDS): each file by the first parser that takes it,
+    else by the fallback; own parsers go in front.
+
+    With `given`, a column that names a format, that parser is taken where there
+    is one.  Null and empty texts have no fields and confidence 0."""
+    d = docs.select(F.col(id_col).alias("id"), F.lower(F.substring_index(F.coalesce(F.col(path), F.lit("")), "/", -1)).alias("__name"), F.coalesce(F.col(text), F.lit("")).alias("__text"), (F.col(given) if given else F.lit(None).cast("string")).alias("__given"))
+    t, name = F.col("__text"), F.col("__name")
+    fmt = F.when(F.col("__given").isin(*[p.format for p in parsers]), F.col("__given"))
+    for p in parsers:
+        fmt = fmt.when(p.accepts(name, t), F.lit(p.format))
+    d = d.withColumn("format", fmt.otherwise(F.lit(fallback.format))).withColumn("domain", infer_domain(t))
+    every = {p.format: p.fields(t, F.col("domain")) for p in (fallback, *reversed(parsers))}
+
+    def pick(field: str) -> Column:
+        out = None
+        for f, columns in every.items():
+            c = F.col("format") == f
+            out = F.when(c, columns[field]) if out is None else out.when(c, columns[field])
+        return out
+
+    return d.select("id", "format", "domain", *[pick(f).alias(f) for f in FIELDS])

@@ -65,10 +65,13 @@ def merge_signals(signals: list[DataFrame], installed: DataFrame, limit: int) ->
     return best.select("id", "m.score", "m.reason", "m.detail").orderBy(F.desc("score"), "id").limit(limit * 3)
 
 
-def recommend(docs: DataFrame, task: str | None, installed: DataFrame, pairs: DataFrame | None = None, limit: int = 20) -> DataFrame:
-    """Recommendations from all signals (see merge_signals).
+def recommend(docs: DataFrame, task: str | None, installed: DataFrame, pairs: DataFrame | None = None, limit: int = 20, reasons: tuple[str, ...] | None = None) -> DataFrame:
+    """Recommendations from all signals (see merge_signals), or only from those
+    in `reasons`.
 
-    docs(id, caps[], tags[], summary, domain, repo, version_count, quality)."""
+    docs(id, caps[], tags[], summary, domain, repo, version_count, quality);
+    pairs(id, other, overall) are similar records from both ends.  The ten most
+    versioned and the ten best records come in where there is no task."""
     parts = []
     lit = lambda df, score, reason, detail: df.select("id", score.alias("score"), F.lit(reason).alias("reason"), detail.alias("detail"))
     none = F.lit("").cast("string")
@@ -81,11 +84,25 @@ def recommend(docs: DataFrame, task: str | None, installed: DataFrame, pairs: Da
     parts.append(lit(peers(docs, installed, "domain", 5), F.lit(0.15), "same_category", none))
     parts.append(lit(peers(docs, installed, "repo", 3), F.lit(0.10), "same_ecosystem", none))
     if not task:
-        parts.append(lit(docs, F.least(F.coalesce("version_count", F.lit(0)) / 10.0, F.lit(1.0)) * 0.15, "popular", none))
-        parts.append(lit(docs.where("quality IS NOT NULL"), F.col("quality") * 0.20, "high_quality", none))
+        top = docs.join(installed.select("id"), "id", "left_anti").orderBy(F.desc_nulls_last("version_count"), "id").limit(10)
+        parts.append(lit(top, F.least(F.coalesce("version_count", F.lit(0)) / 10.0, F.lit(1.0)) * 0.15, "popular", none))
+        best = docs.where("quality IS NOT NULL").join(installed.select("id"), "id", "left_anti").orderBy(F.desc("quality"), "id").limit(10)
+        parts.append(lit(best, F.col("quality") * 0.20, "high_quality", none))
+    if reasons is not None:
+        parts = [p.where(F.col("reason").isin(*reasons)) for p in parts]
     return merge_signals(parts, installed, limit)
 
 
+def recommend_for(docs: DataFrame, pairs: DataFrame, record: str, limit: int = 10) -> DataFrame:
+    """(id, score, reason) for one record: similar ones by their likeness, then
+    others of its domain at 0.15; without the record, the best `limit`."""
+    one = docs.where(F.col("id") == record).select("id")
+    near = pairs.where(F.col("id") == record).orderBy(F.desc("overall"), "other").limit(limit).select(F.col("other").alias("id"), F.col("overall").alias("score"), F.lit("similar").alias("reason"))
+    same = peers(docs, one, "domain", limit).select("id", F.lit(0.15).alias("score"), F.lit("same_category").alias("reason"))
+    best = near.unionByName(same.join(near.select("id"), "id", "left_anti")).where(F.col("id") != record)
+    return best.orderBy(F.desc("score"), "id").limit(limit)
+
+
 def overlaps(sets: DataFrame) -> DataFrame:
     """(a, b, shared, n) of chosen records(pos, id, caps[]): capabilities that two
     of them share, in their order."""
@@ -94,6 +111,48 @@ def overlaps(sets: DataFrame) -> DataFrame:
     return p.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.array_join(F.array_sort(F.collect_set("x.c")), ", ").alias("shared"), F.count_distinct("x.c").alias("n"))
 
 
+def conflicts(chosen: DataFrame, docs: DataFrame, resolution: str = "warn") -> DataFrame:
+    """(kind, a, b, severity, resolution, detail) of a composition of chosen(pos,
+    id): records that do not exist, and capabilities that two of them share.
+
+    A missing record is an error.  Shared capabilities are a warning where the
+    resolution is `warn` or `merge`, else an error; the detail names the first
+    five.  The chosen records are a handful, so they are broadcast behind Spark's
+    own size check."""
+    c = chosen.join(docs.select("id", "caps"), "id", "left")
+    none = F.lit("")
+    missing = c.where("caps IS NULL").select(F.lit("missing_skill").alias("kind"), F.col("id").alias("a"), none.alias("b"), F.lit("error").alias("severity"), none.alias("resolution"), F.lit("not found").alias("detail"))
+    soft = resolution in ("warn", "merge")
+    shared = overlaps(c.where("caps IS NOT NULL"))
+    first = F.array_join(F.slice(F.split("shared", ", "), 1, 5), ", ")
+    both = shared.select(F.lit("capability_overlap").alias("kind"), "a", "b", F.lit("warning" if soft else "error").alias("severity"), F.lit(resolution if soft else "").alias("resolution"), first.alias("detail"))
+    return missing.unionByName(both)
+
+
+def merged_dependencies(deps: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(kind, names[]): the sorted distinct needs of the chosen records by kind."""
+    d = deps.join(chosen.select("id"), "id", "left_semi")
+    return d.groupBy(F.col("type").alias("kind")).agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def composition(chosen: DataFrame, docs: DataFrame, deps: DataFrame, strategy: str = "sequential", resolution: str = "warn") -> DataFrame:
+    """One row: the name, order, merged capabilities and needs, conflicts and
+    validity of a composition of chosen(pos, id).
+
+    The order is the given one for every strategy; a pipeline takes its input
+    from the first record and gives the output of the last.  An empty choice is
+    not valid."""
+    c = chosen.join(docs, "id", "left")
+    k = conflicts(chosen, docs, resolution).agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    order = F.array_sort(F.collect_list(F.struct("pos", "id", F.coalesce("name", "id").alias("name"))))
+    m = c.agg(order.alias("o"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("caps")))).alias("capabilities"), F.count_distinct("repo").alias("sources"))
+    needs = merged_dependencies(deps, chosen).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "names")))).alias("needs"))
+    name = F.concat(F.array_join(F.slice(F.transform("o", lambda x: x["name"]), 1, 3), " + "), F.when(F.size("o") > 3, "...").otherwise(""))
+    return m.crossJoin(k).crossJoin(needs).select(
+        name.alias("name"), F.lit(strategy).alias("strategy"), F.transform("o", lambda x: x["id"]).alias("order"), F.size("o").alias("components"), "sources", "capabilities", "needs", "errors", "warnings", ((F.col("errors") == 0) & (F.size("o") > 0)).alias("valid")
+    )
+
+
 def merged(sets: DataFrame, column: str = "caps") -> DataFrame:
     """One row: the sorted union of a set column and how many records gave it."""
     return sets.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column), F.count("*").alias("components"), F.count_distinct("repo").alias("sources"))

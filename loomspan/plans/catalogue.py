@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import json_text, json_value, label_key, present
+from loomspan.functions.text import json_text, json_value, label_key, present, search_tokens
 from loomspan.operators import analytics as A
 from loomspan.operators import recommend as C
 from loomspan.operators import sync as Y
 from loomspan.operators.records import category_of, children, live, numbered, risk_of
-from loomspan.operators.similarity import both_ways
+from loomspan.operators.similarity import both_ways, exact_copies
 from loomspan.operators.snapshot_diff import latest_records
 from loomspan.plans.common import CV, RISK, SK, docs, json_sql, rounded, skills
-from loomspan.session import table
+from loomspan.plans.rules import scored
+from loomspan.plans.similarity import similar
+from loomspan.operators.parsing import declared_dependencies
+from loomspan.session import cut_lineage, table
 from loomspan.sources.export import catalogue_rows, markdown_lines
 
 
-def _bool(c):
-    return F.coalesce(c, F.lit(False))
-
-
 # --- relational core ---------------------------------------------------------
 
 
@@ -40,7 +39,7 @@ def risk_ordinal_filter(spark, sf):
 
 
 def semi_join_exists(spark, sf):
-    o = table(spark, sf, "orders", "o_orderkey", "o_custkey").where("o_orderkey % 3 = 0")
+    o = table(spark, sf, "orders", "o_custkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'")
     return table(spark, sf, "customer", "c_custkey", "c_mktsegment").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
 
 
@@ -137,26 +136,40 @@ def io_shape(spark, sf):
 # --- sync --------------------------------------------------------------------
 
 
-def _delivery(spark, sf, no):
-    s = table(spark, sf, "version_snapshots", "snapshot_no", "sync_id", "skill_id", "source_path", "source_commit_sha", "source_content_hash", "loaded_at")
-    return latest_records(s.where(F.col("snapshot_no") == no)).select("skill_id", "hash", "path")
+def _deliveries(spark, sf):
+    """(earlier, later): every delivery's records and those of the one before,
+    both keyed by the later delivery's number and the skill."""
+    s = table(spark, sf, "version_snapshots", "snapshot_no", "skill_id", "source_path", "source_commit_sha", "source_content_hash", "loaded_at")
+    rec = latest_records(s).select("snapshot_no", "skill_id", "hash", "path")
+    key = lambda df, no: df.select(F.struct(no.alias("no"), "skill_id").alias("k"), "hash", "path")
+    nos = s.where("snapshot_no IS NOT NULL").select("snapshot_no").distinct()
+    has_next = nos.select((F.col("snapshot_no") - 1).alias("snapshot_no"))
+    has_last = nos.select((F.col("snapshot_no") + 1).alias("snapshot_no"))
+    return key(rec.join(has_next, "snapshot_no", "left_semi"), F.col("snapshot_no") + 1), key(rec.join(has_last, "snapshot_no", "left_semi"), F.col("snapshot_no"))
 
 
 FIELDS = {"hash": "MODIFIED", "path": "MOVED"}
 
 
 def snapshot_diff_fields(spark, sf):
-    return Y.detect_changes(_delivery(spark, sf, 5), _delivery(spark, sf, 6), "skill_id", FIELDS)
+    """Changes by field between every two consecutive deliveries."""
+    a, b = _deliveries(spark, sf)
+    return Y.detect_changes(a, b, "k", FIELDS).select("k.no", "k.skill_id", "change", "field", "old_value", "new_value")
 
 
 def snapshot_diff(spark, sf):
-    a, b = _delivery(spark, sf, 5), _delivery(spark, sf, 6)
-    return Y.change_counts(Y.detect_changes(a, b, "skill_id", FIELDS), a, b, "skill_id")
+    a, b = _deliveries(spark, sf)
+    ch = Y.detect_changes(a, b, "k", FIELDS)
+    n = ch.groupBy("k.no", "change").agg(F.count_distinct("k").alias("n"))
+    same = a.select("k").join(b.select("k"), "k", "left_semi").join(ch.select("k"), "k", "left_anti")
+    return n.unionByName(same.groupBy("k.no").agg(F.count("*").alias("n")).select("no", F.lit("UNCHANGED").alias("change"), "n"))
 
 
 def apply_sync_state(spark, sf):
-    a, b = _delivery(spark, sf, 5).withColumn("n", F.lit(1)), _delivery(spark, sf, 6)
-    return Y.apply_changes(a, b, Y.detect_changes(a, b, "skill_id", FIELDS), "skill_id", "n")
+    """The state after each delivery, from the records of the one before."""
+    a, b = _deliveries(spark, sf)
+    a = a.withColumn("n", F.lit(1))
+    return Y.apply_changes(a, b, Y.detect_changes(a, b, "k", FIELDS), "k", "n").select("k.no", "k.skill_id", "hash", "path", "n", "lifecycle")
 
 
 def sync_history_pivot(spark, sf):
@@ -172,10 +185,10 @@ def entity_history(spark, sf):
 
 
 def roundtrip_diff(spark, sf):
-    """Rows of a delivery that do not come back from JSON text: none."""
-    d = _delivery(spark, sf, 6)
+    """Rows of all skills that do not come back from JSON text: none."""
+    d = table(spark, sf, "skills")
     back = d.select(F.from_json(F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"}), d.schema).alias("r")).select("r.*")
-    return d.exceptAll(back).unionByName(back.exceptAll(d))
+    return d.exceptAll(back).unionByName(back.exceptAll(d)).select("id", "name")
 
 
 # --- analytics ---------------------------------------------------------------
@@ -192,21 +205,29 @@ def coverage_report(spark, sf):
 
 
 def _checks(spark, sf):
-    v = table(spark, sf, "versions", "id", "skill_id", "security", "imported_at")
+    """Nine checks; each table is read once and gives one row."""
+    v = table(spark, sf, "versions", "id", "skill_id", "security", "imported_at", "raw_content")
     s = skills(spark, sf).select("id")
     orphans = v.where("skill_id IS NOT NULL").join(s.withColumnRenamed("id", "skill_id"), "skill_id", "left_anti").agg(F.count("*").alias("orphans"))
-    a = v.agg(F.count("*").alias("versions"), F.count_if(risk_of("security").isin("HIGH", "CRITICAL")).alias("risky"), F.count_if(F.col("imported_at").isNull()).alias("undated"))
+    a = v.agg(F.count("*").alias("versions"), F.count_if(risk_of("security").isin("HIGH", "CRITICAL")).alias("risky"), F.count_if(present("security")).alias("assessed"), F.count_if(F.col("imported_at").isNull()).alias("undated"), F.date_diff(F.max("imported_at"), F.lit("1970-01-01").cast("date")).alias("newest"))
     c = table(spark, sf, "capabilities", "taxonomy_path").agg(F.count("*").alias("caps"), F.count_if(F.coalesce(category_of("taxonomy_path"), F.lit("uncategorized")) == "uncategorized").alias("loose"))
     r = table(spark, sf, "repositories", "skill_count").agg(F.count_if(F.coalesce("skill_count", F.lit(0)) == 0).alias("empty_repos"))
-    one = a.crossJoin(orphans).crossJoin(c).crossJoin(r).crossJoin(s.agg(F.count("*").alias("skills")))  # one row each
+    d = docs(spark, sf)
+    indexed = d.agg(F.count_if(F.size(search_tokens(F.concat_ws(" ", "name", "summary", "domain", "repo"))) > 0).alias("indexed"))
+    q = _quality(spark, sf).agg(F.count("overall").alias("scored"))
+    copies = exact_copies(v).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("copies"))
+    one = a.crossJoin(orphans).crossJoin(c).crossJoin(r).crossJoin(indexed).crossJoin(q).crossJoin(copies).crossJoin(s.agg(F.count("*").alias("skills")))  # one row each
     warn = lambda cond, other="ok": F.when(cond, other).otherwise("ok")
     rows = F.array(
         A.check("accessible", warn(F.col("skills") == 0, "warn"), F.col("skills")),
         A.check("orphans", warn(F.col("orphans") > 0, "fail"), F.col("orphans")),
+        A.check("search_index", F.when(F.col("indexed") == 0, "fail").when(F.col("indexed") < F.col("skills"), "warn").otherwise("ok"), F.col("indexed")),
         A.check("taxonomy", warn(F.col("loose") * 2 > F.col("caps"), "warn"), F.col("loose")),
-        A.check("risk", warn(F.col("risky") * 4 > F.col("versions"), "warn"), F.col("risky")),
-        A.check("freshness", warn(F.col("undated") > 0, "warn"), F.col("undated")),
+        A.check("quality", warn(F.col("scored") < F.col("skills"), "warn"), F.col("scored")),
+        A.check("security", warn(F.col("assessed") < F.col("versions"), "warn"), F.col("risky")),
         A.check("repositories", warn(F.col("empty_repos") > 0, "warn"), F.col("empty_repos")),
+        A.check("freshness", warn(F.col("newest").isNull(), "warn"), F.col("newest")),
+        A.check("copies", F.lit("ok"), F.col("copies")),
     )
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
@@ -215,57 +236,71 @@ def health_checks(spark, sf):
     return _checks(spark, sf)
 
 
+def full_report(spark, sf):
+    """All of the analytics as (section, key, n): checks, coverage, gaps, quality,
+    domains, categories, risks and platforms."""
+    part = lambda df, section, key, n: df.select(F.lit(section).alias("section"), key.alias("key"), n.cast("long").alias("n"))
+    out = part(_checks(spark, sf), "health", F.concat_ws(" ", "check", "status"), F.col("value"))
+    for section, df, key in [("coverage", coverage_report(spark, sf), "measure"), ("gaps", gap_lists(spark, sf).groupBy("gap").agg(F.count("*").alias("n")), "gap"), ("quality", quality_bands(spark, sf), "band"), ("domains", domain_distribution(spark, sf), "domain"), ("categories", category_distribution(spark, sf), "category"), ("risks", risk_distribution(spark, sf), "risk")]:
+        out = out.unionByName(part(df, section, F.col(key), F.col("n")))
+    return out.unionByName(part(nested_map_counts(spark, sf), "platforms", F.concat_ws(" ", "agent", "level"), F.col("n")))
+
+
 def overall_health(spark, sf):
     return A.overall_health(_checks(spark, sf))
 
 
 def gap_lists(spark, sf):
     """Up to 50 records for each kind of gap, by id."""
-    v = docs(spark, sf, "security", "license")
+    v = docs(spark, sf, "security", "license", "compatibility")
     caps = table(spark, sf, "capabilities", "version_id_fk").select(F.col("version_id_fk").alias("id")).distinct().withColumn("c", F.lit(1))
-    v = v.join(caps, "id", "left")
-    gaps = {"summary": ~present("summary"), "domain": ~present("domain"), "license": ~present("license"), "security": ~present("security"), "capabilities": F.col("c").isNull()}
+    tags = table(spark, sf, "tags", "version_id_fk").select(F.col("version_id_fk").alias("id")).distinct().withColumn("t", F.lit(1))
+    v = v.join(caps, "id", "left").join(tags, "id", "left")
+    gaps = {"compatibility": ~present("compatibility"), "tags": F.col("t").isNull(), "summary": ~present("summary"), "domain": ~present("domain"), "license": ~present("license"), "security": ~present("security"), "capabilities": F.col("c").isNull()}
     kinds = F.array_compact(F.array(*[F.when(g, F.lit(k)) for k, g in gaps.items()]))
     r = v.select("skill_id", F.explode(kinds).alias("gap"))
     return r.withColumn("n", F.row_number().over(Window.partitionBy("gap").orderBy("skill_id"))).where("n <= 50").select("gap", "skill_id")
 
 
-def _confidence(spark, sf):
-    return table(spark, sf, "skills", "id", "primary_source_confidence", "last_updated_at")
+def _quality(spark, sf):
+    """(id, overall) of the current versions' quality."""
+    return docs(spark, sf).select("id", "skill_id", "repo").join(scored(spark, sf).select("id", "overall"), "id")
 
 
 def quality_order_stats(spark, sf):
-    return A.order_stats(table(spark, sf, "part", "p_size").select((F.col("p_size") / 50.0).alias("s")), "s")
+    return A.order_stats(_quality(spark, sf), "overall")
 
 
 def quality_histogram(spark, sf):
-    return A.histogram(_confidence(spark, sf), "primary_source_confidence")
+    return A.histogram(_quality(spark, sf), "overall")
 
 
 def quality_bands(spark, sf):
-    d = _confidence(spark, sf).where("primary_source_confidence IS NOT NULL")
-    return A.group_counts(d, A.bands(F.col("primary_source_confidence")), "band")
+    return A.group_counts(_quality(spark, sf), A.bands(F.col("overall")), "band")
 
 
 def top_bottom(spark, sf):
-    d = docs(spark, sf).join(skills(spark, sf).select(F.col("id").alias("skill_id"), "version_count"), "skill_id").withColumn("score", F.col("version_count").cast("double"))
-    return A.extremes(d, "skill_id", "score").select("end", "rank", "skill_id", "score")
+    return A.extremes(_quality(spark, sf), "skill_id", "overall").select("end", "rank", "skill_id", F.col("overall").alias("score"))
 
 
 def ecosystem_health(spark, sf):
-    """Repositories with their versions and what is wrong with them."""
+    """Repositories with their records, their average quality in thousandths and
+    what is wrong with them."""
     r = table(spark, sf, "repositories", "id", "license", "last_successful_sync", "sync_errors", "skill_count")
     n = docs(spark, sf).groupBy(F.col("repo").alias("id")).agg(F.count("*").alias("records"), F.count_if(present("summary")).alias("described"))
-    j = r.join(n, "id", "left").na.fill(0, ["records", "described"])
+    q = _quality(spark, sf).groupBy(F.col("repo").alias("id")).agg(F.sum(F.round(F.col("overall") * 1000).cast("long")).alias("q"), F.count("*").alias("c"))
+    q = q.select("id", F.floor(F.col("q") / F.col("c")).cast("long").alias("quality"))
+    j = r.join(n, "id", "left").na.fill(0, ["records", "described"]).join(q, "id", "left")
     issues = F.array_compact(
         F.array(
             F.when(F.col("records") == 0, F.lit("no_records")),
             F.when(~present("license"), F.lit("no_license")),
             F.when(F.col("last_successful_sync").isNull(), F.lit("never_synced")),
             F.when(F.size(F.coalesce("sync_errors", F.array().cast("array<string>"))) > 0, F.lit("sync_errors")),
+            F.when(F.col("quality") < 400, F.lit("low_quality")),
         )
     )
-    return j.select("id", "records", "described", F.array_join(issues, "|").alias("issues"))
+    return j.select("id", "records", "described", "quality", F.array_join(issues, "|").alias("issues"))
 
 
 def domain_distribution(spark, sf):
@@ -297,16 +332,16 @@ def dependency_summary(spark, sf):
 
 
 def dependency_risks(spark, sf):
-    """Versions with more than six requirements, and those that need a service."""
+    """Versions with more than ten requirements, and those that need a service."""
     v = table(spark, sf, "versions", "id", "runtime_requirements").withColumn("j", json_value("runtime_requirements"))
     size = lambda k: F.greatest(F.coalesce(F.size(F.try_variant_get("j", f"$.{k}", "array<variant>")), F.lit(0)), F.lit(0))
-    v = v.select("id", (size("tools") + size("packages") + size("apis")).alias("n"), size("apis").alias("apis"))
-    kinds = F.array_compact(F.array(F.when(F.col("n") > 6, F.lit("high_coupling")), F.when(F.col("apis") > 0, F.lit("service_required"))))
+    v = v.select("id", (size("tools") + size("packages") + size("apis") + size("env_vars") + size("runtimes")).alias("n"), size("apis").alias("apis"))
+    kinds = F.array_compact(F.array(F.when(F.col("n") > 10, F.lit("high_coupling")), F.when(F.col("apis") > 0, F.lit("service_required"))))
     return v.select("id", F.explode(kinds).alias("risk"), "n")
 
 
 def rate_limit_window(spark, sf):
-    """Calls of each user in the minute up to each call."""
+    """Calls of each user in the hour up to each call."""
     e = table(spark, sf, "events", "event_id", "user_id", "ts").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")))
     w = Window.partitionBy("user_id").orderBy("s").rangeBetween(-60_000_000 * 60, 0)
     return e.select("event_id", F.count("*").over(w).alias("calls"))
@@ -324,19 +359,31 @@ def ttl_cache_hits(spark, sf):
 # --- recommendation ----------------------------------------------------------
 
 
-def _rec_docs(spark, sf):
+def _rec_docs(spark, sf, scores: bool = False):
+    """Records as the recommender reads them; their quality only where asked for,
+    as it is told from all texts."""
     d = docs(spark, sf).select("id", "skill_id", "name", "summary", "domain", "repo")
     caps = children(table(spark, sf, "capabilities", "version_id_fk", "name"), "name", "caps")
     tags = children(table(spark, sf, "tags", "version_id_fk", "name"), "name", "tags")
     s = live(skills(spark, sf)).select(F.col("id").alias("skill_id"), "version_count")
     none = F.array().cast("array<string>")
     j = d.join(caps, d["id"] == caps["version"], "left").drop("version").join(tags, d["id"] == tags["version"], "left").join(s, "skill_id")
-    return j.select(F.col("skill_id").alias("id"), F.coalesce("caps", none).alias("caps"), F.coalesce("tags", none).alias("tags"), "summary", "domain", "repo", "version_count", F.lit(None).cast("double").alias("quality"))
+    if scores:
+        j = j.join(_quality(spark, sf).select("skill_id", F.col("overall").alias("quality")), "skill_id", "left")
+    else:
+        j = j.withColumn("quality", F.lit(None).cast("double"))
+    return j.select(F.col("skill_id").alias("id"), F.coalesce("caps", none).alias("caps"), F.coalesce("tags", none).alias("tags"), "summary", "domain", "repo", "version_count", "quality")
 
 
-def _installed(spark, sf):
+def _installed(records):
     """Records that stand for the installed ones: those of one repository."""
-    return _rec_docs(spark, sf).where(F.startswith("repo", F.lit("b"))).select("id")
+    return records.where(F.startswith("repo", F.lit("b"))).select("id")
+
+
+def _recommended(spark, sf, task, limit):
+    """All signals; records and pairs are read several times and written once."""
+    d = cut_lineage(_rec_docs(spark, sf, task is None))
+    return C.recommend(d, task, _installed(d), cut_lineage(both_ways(similar(spark, sf))), limit)
 
 
 TASK = "review the data"
@@ -347,20 +394,27 @@ def rec_task_match(spark, sf):
 
 
 def rec_union_max(spark, sf):
-    return C.recommend(_rec_docs(spark, sf), TASK, _installed(spark, sf), None, 40).select("id", rounded(F.col("score")).alias("score"), "reason")
+    return _recommended(spark, sf, TASK, 40).select("id", rounded(F.col("score")).alias("score"), "reason")
 
 
 def rec_facets(spark, sf):
-    return C.recommend(_rec_docs(spark, sf), TASK, _installed(spark, sf), None, 40).groupBy("reason").agg(F.count("*").alias("n"))
+    return _recommended(spark, sf, TASK, 40).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def rec_popular(spark, sf):
-    return C.recommend(_rec_docs(spark, sf), None, _installed(spark, sf), None, 20).select("id", rounded(F.col("score")).alias("score"), "reason")
+    return _recommended(spark, sf, None, 20).select("id", rounded(F.col("score")).alias("score"), "reason")
+
+
+def rec_for_record(spark, sf):
+    """Recommendations for the record that has the most similar others."""
+    pairs = cut_lineage(both_ways(similar(spark, sf)))
+    most = pairs.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1).collect()  # one row
+    return C.recommend_for(_rec_docs(spark, sf), pairs, most[0]["id"] if most else "", 10).select("id", rounded(F.col("score")).alias("score"), "reason")
 
 
 def peer_same_domain(spark, sf):
     d = _rec_docs(spark, sf)
-    return C.peers(d, _installed(spark, sf), "domain", 5).select("of", "id")
+    return C.peers(d, _installed(d), "domain", 5).select("of", "id")
 
 
 def _chosen(spark, sf):
@@ -372,6 +426,19 @@ def compose_overlap(spark, sf):
     return C.overlaps(_chosen(spark, sf))
 
 
+def compose_conflicts(spark, sf):
+    """Conflicts of a composition that names a record which does not exist."""
+    ids = _chosen(spark, sf).select("pos", "id")
+    ids = ids.unionByName(spark.createDataFrame([(99, "no such record")], "pos int, id string"))
+    return C.conflicts(ids, _rec_docs(spark, sf), "prefer_first").select("kind", "a", "b", "severity", "resolution", "detail")
+
+
+def compose_dependencies(spark, sf):
+    """What a composition needs, by kind."""
+    v = docs(spark, sf, "runtime_requirements")
+    return C.merged_dependencies(declared_dependencies(v, "skill_id", "runtime_requirements"), _chosen(spark, sf)).select("kind", F.array_join("names", "|").alias("names"))
+
+
 def compose_merge(spark, sf):
     return C.merged(_chosen(spark, sf)).select(F.array_join("caps", "|").alias("caps"), "components", "sources")
 
@@ -402,9 +469,9 @@ def export_stats(spark, sf):
 
 NAMES = """scan_project_filter json_range_filter risk_ordinal_filter semi_join_exists anti_join_orphans left_join_coalesce self_join_theta_pairs latest_version version_numbering
 point_lookup list_page repos_list registry_stats eager_children version_as_of dup_names repo_backfill io_shape snapshot_diff_fields snapshot_diff apply_sync_state sync_history_pivot
-entity_history roundtrip_diff coverage_report health_checks overall_health gap_lists quality_order_stats quality_histogram quality_bands top_bottom ecosystem_health domain_distribution
+entity_history roundtrip_diff coverage_report health_checks full_report overall_health gap_lists quality_order_stats quality_histogram quality_bands top_bottom ecosystem_health domain_distribution
 category_distribution risk_distribution nested_map_counts dependency_summary dependency_risks rate_limit_window ttl_cache_hits rec_task_match rec_union_max rec_facets rec_popular
-peer_same_domain compose_overlap compose_merge suggest_pairs export_rows_csv export_markdown_lines export_stats""".split()
+rec_for_record peer_same_domain compose_overlap compose_conflicts compose_dependencies compose_merge suggest_pairs export_rows_csv export_markdown_lines export_stats""".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 from loomspan.plans.catalogue_sql import SQL  # noqa: E402, F401

@@ -10,6 +10,7 @@ from loomspan.operators import graph as G
 from loomspan.operators import parsing as P
 from loomspan.operators import scoring as Q
 from loomspan.operators import taxonomy as X
+from loomspan.operators.nested import nested_children
 from loomspan.operators.records import category_of
 from loomspan.functions.text import json_value
 from loomspan.plans import scoring_sql as S
@@ -131,6 +132,17 @@ def parse_summary(spark, sf):
     return P.parse_files(_v(spark, sf, "source_path", "raw_content"), "id", "source_path", "raw_content").select("id", "summary", F.array_join("capabilities", "|").alias("capabilities"))
 
 
+def parse_names(spark, sf):
+    """Names and summaries of files of one format, told from the path alone."""
+    d = _v(spark, sf, "source_path", "raw_content").withColumn("given", F.lit("skill"))
+    return P.parse_files(d, "id", "source_path", "raw_content", given="given").select("id", "name", "summary")
+
+
+def parse_needs(spark, sf):
+    d = P.parse_files(_v(spark, sf, "source_path", "raw_content"), "id", "source_path", "raw_content")
+    return d.select("id", "format", F.array_join("dependencies", "|").alias("dependencies"), F.array_join("compatibility", "|").alias("compatibility"), F.array_join("tags", "|").alias("tags"))
+
+
 def infer_domain(spark, sf):
     return _v(spark, sf, "raw_content").select("id", P.infer_domain(F.col("raw_content")).alias("domain"))
 
@@ -182,24 +194,27 @@ def secret_scan(spark, sf):
     return P.secrets(table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-def _part_edges(spark, sf):
-    p = table(spark, sf, "part", "p_partkey")
-    up = p.select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).cast("long").alias("dst")).where("dst >= 1")
-    back = p.where("p_partkey = 1").select(F.lit(1).cast("long").alias("src"), F.lit(5).cast("long").alias("dst"))
-    return up.union(back)
+def _edges(spark, sf):
+    """Who needs what: a skill its requirements, a package its extras, a service
+    the variables of its credentials."""
+    v = _v(spark, sf, "skill_id", "runtime_requirements").where("skill_id IS NOT NULL")
+    c = nested_children(v, columns=("runtime_requirements",))
+    names = F.concat_ws(":", F.when(F.col("child") == "extra", "package").when((F.col("child") == "env_var") & (F.col("parent") != ""), "api"), F.when(F.col("parent") != "", F.col("parent")))
+    own = c.where("parent = ''").join(v.select("id", "skill_id"), "id").select(F.concat(F.lit("skill:"), "skill_id").alias("src"), F.concat_ws(":", "child", "item").alias("dst"))
+    return own.unionByName(c.where("parent <> ''").select(names.alias("src"), F.concat_ws(":", "child", "item").alias("dst"))).distinct()
 
 
 def graph_direct(spark, sf):
-    e = _part_edges(spark, sf)
+    e = _edges(spark, sf)
     return e.groupBy("dst").agg(F.count("*").alias("dependents"))
 
 
 def graph_closure(spark, sf):
-    return G.closure(_part_edges(spark, sf)).select("src", "dst", "depth")
+    return G.closure(_edges(spark, sf)).select("src", "dst", "depth")
 
 
 def graph_cycles(spark, sf):
-    return G.cycles(G.closure(_part_edges(spark, sf)))
+    return G.cycles(G.closure(_edges(spark, sf)))
 
 
 def _deps(spark, sf):
@@ -221,8 +236,8 @@ def graph_external(spark, sf):
 
 
 def graph_stats(spark, sf):
-    n = table(spark, sf, "part", "p_partkey").withColumnRenamed("p_partkey", "id")
-    return G.graph_stats(_part_edges(spark, sf), n)
+    e = _edges(spark, sf)
+    return G.graph_stats(e, e.select(F.explode(F.array("src", "dst")).alias("id")))
 
 
 def content_hash(spark, sf):
@@ -250,7 +265,7 @@ def broken_summary(spark, sf):
     return _v(spark, sf, "summary").select("id", T.broken_summary("summary").alias("broken"))
 
 
-NAMES = "license_detect license_of security_flags risk_level quality_score scoring_summary compat_matrix compat_levels compat_notes compat_incremental compat_summary runtime_os_detect taxonomy_classify taxonomy_distribution taxonomy_changes taxonomy_stats ordered_distinct parse_title_sections parse_summary infer_domain parse_tags dep_union dep_records dep_api_keys dep_packages dep_text_packages dep_env_vars dep_tools secret_scan graph_direct graph_closure graph_cycles graph_conflicts graph_external graph_stats content_hash record_hash record_uuid validate_ids html_escape broken_summary".split()
+NAMES = "license_detect license_of security_flags risk_level quality_score scoring_summary compat_matrix compat_levels compat_notes compat_incremental compat_summary runtime_os_detect taxonomy_classify taxonomy_distribution taxonomy_changes taxonomy_stats ordered_distinct parse_title_sections parse_summary parse_names parse_needs infer_domain parse_tags dep_union dep_records dep_api_keys dep_packages dep_text_packages dep_env_vars dep_tools secret_scan graph_direct graph_closure graph_cycles graph_conflicts graph_external graph_stats content_hash record_hash record_uuid validate_ids html_escape broken_summary".split()
 QUERIES = {n: globals()[n] for n in NAMES}
 
 
@@ -267,7 +282,14 @@ tx AS (SELECT * FROM dn UNION ALL SELECT name, c, 'uncategorized/' || c, 'none'
 _BODY = "regexp_replace(replace(coalesce(raw_content, ''), chr(13) || chr(10), chr(10)), '(?s)^---[ \\t]*\\n.*?\\n---[ \\t]*\\n', '')"
 _DOM = "[" + ", ".join("(" + " + ".join(f"contains(t, '{w}')::INT" for w in ws) + ")" for ws in R.DOMAINS.values()) + "]"
 _DEPS = "dp AS (SELECT id, skill_id AS src, json_extract_string(p, '$.name') AS name, json_extract_string(p, '$.ecosystem') AS ecosystem FROM (SELECT id, skill_id, unnest(json_extract(j, '$.packages[*]')) AS p FROM (SELECT *, " + json_sql("runtime_requirements") + " AS j FROM versions) WHERE j IS NOT NULL) WHERE json_type(p) = 'OBJECT' AND json_extract_string(p, '$.name') IS NOT NULL)"
-_EDGES = "e AS (SELECT p_partkey AS src, (p_partkey // 2)::BIGINT AS dst FROM part WHERE p_partkey // 2 >= 1 UNION ALL SELECT 1::BIGINT, 5::BIGINT WHERE EXISTS (SELECT 1 FROM part WHERE p_partkey = 1))"
+_KINDS = {"tools": "tool", "apis": "api", "packages": "package", "env_vars": "env_var", "runtimes": "runtime"}
+_NAME = "CASE json_type({0}) WHEN 'VARCHAR' THEN json_extract_string({0}, '$') WHEN 'OBJECT' THEN CASE WHEN json_type({0}, '$.name') = 'VARCHAR' THEN json_extract_string({0}, '$.name') END END"
+_EDGES = f"""rq AS (SELECT id, skill_id, {json_sql('runtime_requirements')} AS j FROM versions WHERE skill_id IS NOT NULL),
+el AS ({' UNION ALL '.join(f"SELECT skill_id, '{t}' AS kind, unnest(json_extract(j, '$.{k}[*]')) AS x FROM rq WHERE json_type(j) = 'OBJECT' AND json_type(j, '$.{k}') = 'ARRAY'" for k, t in _KINDS.items())}),
+na AS (SELECT skill_id, kind, x, {_NAME.format('x')} AS name FROM el),
+ch AS (SELECT 'package:' || name AS src, 'extra' AS kind, unnest(json_extract(x, '$.extras[*]')) AS y FROM na WHERE kind = 'package' AND json_type(x) = 'OBJECT' AND coalesce(name, '') <> ''
+  UNION ALL SELECT 'api:' || name, 'env_var', unnest(json_extract(x, '$.credentials.env_vars[*]')) FROM na WHERE kind = 'api' AND json_type(x) = 'OBJECT' AND coalesce(name, '') <> ''),
+e AS (SELECT 'skill:' || skill_id AS src, kind || ':' || name AS dst FROM na WHERE coalesce(name, '') <> '' UNION SELECT src, kind || ':' || ({_NAME.format('y')}) FROM ch WHERE coalesce({_NAME.format('y')}, '') <> '')"""
 _REACH = f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst, 1 AS depth FROM e UNION SELECT r.src, e.dst, r.depth + 1 FROM r JOIN e ON r.dst = e.src WHERE r.depth < 20), c AS (SELECT src, dst, min(depth)::INT AS depth FROM r GROUP BY 1, 2)"
 
 _SECRETS = [r"(?i)(?:api[_-]?key|secret|token|password|credential)\s*[:=]\s*[''\"]?[a-z0-9_-]{20,}", "(?i)gh[oprsu]_[a-z0-9]{36,}", "(?i)[ps]k_(?:live|test)_[a-z0-9]{20,}", "(?i)akia[0-9a-z]{16}"]
@@ -291,6 +313,7 @@ SQL = {
     "taxonomy_changes": f"{_TAX} SELECT count(*) FILTER (c.canonical IS NOT DISTINCT FROM tx.canonical) AS kept, count(*) FILTER (c.canonical IS DISTINCT FROM tx.canonical) AS changed FROM capabilities c JOIN tx USING (name)",
     "taxonomy_stats": "SELECT category, count(*) AS names, sum(len(aliases))::BIGINT AS aliases FROM taxonomy_ref GROUP BY 1",
     "ordered_distinct": "SELECT version_id_fk, canonical, min(id) AS id, (row_number() OVER (PARTITION BY version_id_fk ORDER BY min(id)))::INT AS n FROM capabilities WHERE canonical IS NOT NULL GROUP BY 1, 2",
+    "parse_names": f"WITH b AS (SELECT id, {_BODY} AS t FROM versions), h AS (SELECT id, t, regexp_extract(t, '(?s)\\A(?:#\\s+[^\\n]+|.*?\\n#\\s+[^\\n]+)') AS head FROM b) SELECT id, trim(regexp_extract(t, '(?m)^#\\s+(.+)', 1)) AS name, trim(regexp_extract(substr(t, length(head) + 1), '\\n\\n([^#\\n][^\\n]+)', 1)) AS summary FROM h",
     "infer_domain": f"SELECT id, CASE WHEN list_max(n) = 0 THEN 'general' ELSE list_extract({list(R.DOMAINS)}, list_position(n, list_max(n))) END AS domain FROM (SELECT id, {_DOM} AS n FROM (SELECT id, lower(coalesce(raw_content, '')) AS t FROM versions))",
     "parse_tags": f"SELECT * FROM (SELECT id, array_to_string(list_slice(list_sort(list_intersect(list_distinct(regexp_extract_all(lower(coalesce(raw_content, '')), '[\\p{{L}}\\p{{N}}_]+')), {R.TECHNOLOGIES})), 1, 15), '|') AS tags FROM versions) WHERE tags <> ''",
     "dep_packages": f"WITH {_DEPS} SELECT name, ecosystem, count(DISTINCT id) AS n FROM dp GROUP BY 1, 2",
@@ -302,7 +325,7 @@ SQL = {
     "graph_cycles": f"{_REACH} SELECT min(least(a.src, a.dst)) AS cycle, a.src AS node FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src",
     "graph_conflicts": f"WITH {_DEPS} SELECT name, array_to_string(list_sort(list_distinct(list(ecosystem))), '|') AS wanted FROM dp WHERE ecosystem IS NOT NULL AND src IS NOT NULL GROUP BY 1 HAVING count(DISTINCT ecosystem) > 1",
     "graph_external": f"WITH {_DEPS} SELECT name, count(DISTINCT src) AS n FROM dp WHERE src IS NOT NULL AND lower(name) NOT IN (SELECT lower(name) FROM skills WHERE name IS NOT NULL) GROUP BY 1",
-    "graph_stats": f"WITH {_EDGES} SELECT (SELECT count(DISTINCT p_partkey) FROM part) AS nodes, count(*) AS edges, count(DISTINCT src) AS with_dependencies, count(DISTINCT dst) AS depended_on FROM e",
+    "graph_stats": f"WITH {_EDGES} SELECT (SELECT count(DISTINCT n) FROM (SELECT src AS n FROM e UNION ALL SELECT dst FROM e)) AS nodes, count(*) AS edges, count(DISTINCT src) AS with_dependencies, count(DISTINCT dst) AS depended_on FROM e",
     "content_hash": "SELECT id, sha256(coalesce(raw_content, '')) AS h FROM versions",
     "record_hash": "SELECT id, sha256(coalesce(name, '') || '|' || coalesce(summary, '') || '|' || coalesce(source_path, '') || CASE WHEN coalesce(raw_content, '') <> '' THEN '|' || raw_content ELSE '' END) AS h FROM versions",
     "validate_ids": """SELECT id, n <> '' AND length(n) <= 256 AND regexp_matches(n, '^[a-zA-Z0-9_.-]+$') AS valid,

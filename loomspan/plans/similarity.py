@@ -32,25 +32,26 @@ def dedup_jaccard(spark, sf):
     return D.score_pairs(f, pairs, name_score=D.edit_ratio).where("summary >= 0.5").select("a", "b", rounded(F.col("summary")).alias("jaccard"))
 
 
-def _scored(spark, sf, name_score=D.edit_ratio):
+def similar(spark, sf, name_score=D.edit_ratio):
+    """Similar pairs of current versions in all dimensions."""
     return D.detect_duplicates(_prints(spark, sf), 0.40, name_score=name_score)
 
 
 def dedup_full_edit(spark, sf):
-    return _scored(spark, sf).select("a", "b", rounded(F.col("overall")).alias("overall"), "class")
+    return similar(spark, sf).select("a", "b", rounded(F.col("overall")).alias("overall"), "class")
 
 
 def dedup_full(spark, sf):
-    return _scored(spark, sf, D.ratio).select("a", "b", rounded(F.col("overall")).alias("overall"), "class")
+    return similar(spark, sf, D.ratio).select("a", "b", rounded(F.col("overall")).alias("overall"), "class")
 
 
 def dedup_classes(spark, sf):
-    return _scored(spark, sf).groupBy("class").agg(F.count("*").alias("n"))
+    return similar(spark, sf).groupBy("class").agg(F.count("*").alias("n"))
 
 
 def edges_bidirectional(spark, sf):
     """The most similar other record of each record."""
-    e = D.both_ways(_scored(spark, sf).withColumn("overall", rounded(F.col("overall"))))
+    e = D.both_ways(similar(spark, sf).withColumn("overall", rounded(F.col("overall"))))
     best = e.groupBy("id").agg(F.max(F.struct("overall", "other")).alias("m"), F.count("*").alias("n"))
     return best.select("id", F.col("m.other").alias("other"), F.col("m.overall").alias("overall"), "n")
 
@@ -71,15 +72,19 @@ fp AS (SELECT skill_id AS id, trim(regexp_replace(lower(coalesce(name, '')), '[^
   list_distinct(regexp_extract_all(lower(coalesce(summary, '')), '[\\p{{L}}\\p{{N}}_]+')) AS words, coalesce(caps, []) AS caps,
   source_content_hash AS hash, lower(coalesce(source_repo, '') || '/' || coalesce(source_path, '')) AS source FROM cv LEFT JOIN cp ON cp.v = cv.id)"""
 _JAC = "CASE WHEN len(a.{0}) = 0 OR len(b.{0}) = 0 THEN 0.0 ELSE len(list_intersect(a.{0}, b.{0})) / (len(a.{0}) + len(b.{0}) - len(list_intersect(a.{0}, b.{0})))::DOUBLE END"
-_ALL = f"""{_FP},
-d AS (SELECT a.id AS a, b.id AS b,
+_PAIR_STEPS = f"""
+pd AS (SELECT a.id AS a, b.id AS b,
   CASE WHEN a.name_n = '' OR b.name_n = '' THEN 0.0 ELSE 1 - levenshtein(a.name_n, b.name_n) / greatest(length(a.name_n), length(b.name_n))::DOUBLE END AS nm,
   {_JAC.format('words')} AS sm, {_JAC.format('caps')} AS cp, CASE WHEN a.hash = b.hash AND a.hash <> '' THEN 1.0 ELSE 0.0 END AS ct,
   CASE WHEN a.source = b.source AND a.source NOT IN ('', '/') THEN 1.0 ELSE 0.0 END AS sr FROM fp a JOIN fp b ON a.id < b.id),
-t AS (SELECT *, 0.30::DOUBLE * nm + 0.20::DOUBLE * sm + 0.35::DOUBLE * cp + 0.10::DOUBLE * ct + 0.05::DOUBLE * sr AS x FROM d),
-o AS (SELECT a, b, greatest(x, CASE WHEN ct = 1 THEN 0.99::DOUBLE ELSE 0 END, CASE WHEN sr = 1 AND nm > 0.7 THEN 0.90::DOUBLE ELSE 0 END) AS overall FROM t),
+pt AS (SELECT *, 0.30::DOUBLE * nm + 0.20::DOUBLE * sm + 0.35::DOUBLE * cp + 0.10::DOUBLE * ct + 0.05::DOUBLE * sr AS x FROM pd),
+o AS (SELECT a, b, greatest(x, CASE WHEN ct = 1 THEN 0.99::DOUBLE ELSE 0 END, CASE WHEN sr = 1 AND nm > 0.7 THEN 0.90::DOUBLE ELSE 0 END) AS overall FROM pt)"""
+_ALL = f"""{_FP}, {_PAIR_STEPS},
 r AS (SELECT a, b, round(overall, 6) AS overall, CASE WHEN overall >= 0.95 THEN 'EXACT_DUPLICATE' WHEN overall >= 0.80 THEN 'NEAR_DUPLICATE' WHEN overall >= 0.60 THEN 'FUNCTIONAL_OVERLAP' ELSE 'RELATED' END AS class FROM o WHERE overall >= 0.40)"""
 
+#: CTEs up to o(a, b, overall) for a statement that has cv already.
+PAIRS = _FP[len(f"WITH {CV},\n") :] + "," + _PAIR_STEPS
+
 SQL = {
     "fingerprints": f"{_FP} SELECT id, name_n, len(words)::INT AS words, array_to_string(caps, '|') AS caps, source FROM fp",
     "dedup_exact": "SELECT min(id) AS first_id, count(*) AS n FROM versions WHERE raw_content IS NOT NULL GROUP BY raw_content HAVING count(*) > 1",

@@ -41,19 +41,25 @@ def once(events: DataFrame, ts: str, keys: list[str], late: str = "1 hour") -> D
     return e.dropDuplicatesWithinWatermark(keys) if events.isStreaming else e.dropDuplicates(keys)
 
 
-def apply_stream(deliveries: DataFrame, state_path: str, key: str, fields: dict[str, str], checkpoint: str) -> StreamingQuery:
+def apply_stream(deliveries: DataFrame, state_path: str, key: str, fields: dict[str, str], checkpoint: str, order: tuple[str, ...] = ()) -> StreamingQuery:
     """Applies each micro-batch of records to the table at `state_path`.
 
     The state is written beside the old one under the batch's number, so a batch
-    that is repeated after a failure starts from the same state."""
+    that is repeated after a failure starts from the same state; a state that is
+    missing or cannot be read is an error, never an empty table.  `order` names
+    the columns by which the latest row of a key is told."""
 
     def one(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{state_path}/{no - 1}")
-        except Exception:  # the first batch has no state
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/{no - 1}")
+        if no > 0 and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            old = spark.read.parquet(str(path))  # any failure to read ends the batch
+        elif no > 0:
+            raise FileNotFoundError(f"no state of batch {no - 1} in {state_path}")
+        else:
             old = spark.createDataFrame([], batch.select(key, *fields).schema).withColumn("n", F.lit(0)).withColumn("lifecycle", F.lit(""))
-        new = batch.select(key, *fields).dropDuplicates([key])
+        # of rows with one key in a batch the greatest counts, by `order` first
+        new = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*[F.col(c) for c in [*order, *fields]])).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in fields])
         kept = old.select(key, *fields).join(new.select(key), key, "left_anti")  # a batch is no full delivery
         both = new.unionByName(kept)
         changes = detect_changes(old.select(key, *fields), both, key, fields)

@@ -149,6 +149,46 @@ def test_parse_file(spark):
     assert one(spark, "a pentest finds a vulnerability and an exploit", P.infer_domain) == "security"
 
 
+def test_parsers_by_format(spark):
+    skill = "# A\n\nFirst line.\n\n## Triggers\n- t1\n\n## Other\n- no\n\n## Platforms\n* linux\n\nRequires: git, jq\n```bash\npip install ruff\n```\n"
+    agents = "# B\n\n" + "x" * 300 + "\n\n## Workflow\n" + "".join(f"- w{i}\n" for i in range(12))
+    readme = "# C\n\n> Quoted start\n\n![b](https://img.shields.io/badge/Python-3.x)\n\n## Install\n```\nnpm install x\n```\n\n## Features\n- f1\n"
+    d = spark.createDataFrame([(1, "SKILL.md", skill), (2, "x/AGENTS.md", agents), (3, "README.md", readme), (4, "notes.txt", "you are here"), (5, "notes.txt", "nothing"), (6, "a.md", "## Usage\n\nSay it\n- only\n")], "id long, path string, text string").withColumn("f", F.lit("agents"))
+    r = {x["id"]: x for x in P.parse_files(d, "id", "path", "text").collect()}
+    assert [r[i]["format"] for i in range(1, 7)] == ["skill", "agents", "readme", "agents", "readme", "skill"]
+    assert (r[1]["name"], r[1]["summary"], r[1]["capabilities"], r[1]["compatibility"]) == ("A", "First line.", ["t1"], ["linux"])
+    assert r[1]["dependencies"] == ["pip install ruff", "git", "jq"] and r[6]["capabilities"] == ["only"]
+    assert len(r[2]["summary"]) == 200 and len(r[2]["capabilities"]) == 10 and r[2]["confidence"] == 0.8
+    assert (r[3]["summary"], r[3]["tags"], r[3]["dependencies"], r[3]["capabilities"], r[3]["confidence"]) == ("Quoted start", ["python"], ["npm install x"], ["f1"], 1.0)
+    assert all(x["format"] == "agents" for x in P.parse_files(d, "id", "path", "text", given="f").collect())
+    mine = P.Parser("txt", lambda name, t: F.endswith(name, F.lit(".txt")), P.PARSERS[2].fields)
+    assert {x["id"] for x in P.parse_files(d, "id", "path", "text", (mine, *P.PARSERS)).collect() if x["format"] == "txt"} == {4, 5}
+
+
+def test_composition(spark):
+    docs = spark.createDataFrame([("a", "A", ["x", "y"], "r"), ("b", "B", ["y", "z"], "r"), ("c", "C", [], "q")], "id string, name string, caps array<string>, repo string")
+    deps = spark.createDataFrame([("a", "tool", "git"), ("b", "tool", "git"), ("b", "package", "p"), ("c", "tool", "no")], "id string, type string, name string")
+    pick = lambda *ids: spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
+    one = C.composition(pick("b", "a"), docs, deps, "pipeline").first()
+    assert (one["name"], one["order"], one["capabilities"], one["needs"], one["errors"], one["warnings"], one["valid"], one["sources"]) == ("B + A", ["b", "a"], ["x", "y", "z"], {"tool": ["git"], "package": ["p"]}, 0, 1, True, 1)
+    assert rows(C.conflicts(pick("a", "b", "none"), docs, "prefer_last")) == [("capability_overlap", "a", "b", "error", "", "y"), ("missing_skill", "none", "", "error", "", "not found")]
+    assert not C.composition(pick("a", "none"), docs, deps).first()["valid"]
+    assert not C.composition(pick("a").where("false"), docs, deps).first()["valid"]
+
+
+def test_recommend_for(spark):
+    docs = spark.createDataFrame([("a", "d"), ("b", "d"), ("c", "d"), ("e", "o")], "id string, domain string")
+    pairs = spark.createDataFrame([("a", "e", 0.6), ("a", "c", 0.05), ("e", "a", 0.6)], "id string, other string, overall double")
+    assert [tuple(r) for r in C.recommend_for(docs, pairs, "a").collect()] == [("e", 0.6, "similar"), ("b", 0.15, "same_category"), ("c", 0.05, "similar")]
+    assert C.recommend_for(docs, pairs, "nobody").count() == 0
+
+
+def test_closure_has_no_limit(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(80)], "src int, dst int")
+    got = G.closure(e)
+    assert got.count() == 80 * 81 // 2 and got.agg(F.max("depth")).first()[0] == 80
+
+
 def test_dependencies(spark):
     d = spark.createDataFrame([(1, "It requires python 3.10 and pip install requests flask.\nSet OPENAI_API_KEY. Uses docker.", None), (2, "short", '{"tools": ["docker", {"name": "kubectl"}], "apis": [{"name": "x", "version": 1}, {}]}'), (3, None, "{broken"), (4, "Uses git for version control", "[]")], "id long, t string, req string")
     got = rows(P.version_dependencies(d, "id", "t", "req").select("id", "type", "name", "source"))
