@@ -12,7 +12,7 @@ from statistics import mean
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions.text import label_key
+from loomspan.functions.text import json_text, label_key
 from loomspan.operators import analytics as A
 from loomspan.operators import graph, parsing, recommend, scoring, search, similarity, taxonomy
 from loomspan.operators.records import children, current_skills, current_versions, live, risk_of
@@ -38,10 +38,26 @@ class Engine:
         v = current_versions(self.t["versions"])
         return v.withColumnRenamed("domain_primary", "domain").withColumnRenamed("source_repo", "repo")
 
-    def records(self, domain: str | None = None, repo: str | None = None, max_risk: str | None = None, category: str | None = None) -> DataFrame:
-        """Current versions of live skills that pass all the filters given.  A risk
-        limit admits LOW up to the limit, never UNKNOWN."""
-        d = self.versions().join(live(self.skills()).select(F.col("id").alias("skill_id")), "skill_id", "left_semi")
+    def records(
+        self, domain: str | None = None, repo: str | None = None, max_risk: str | None = None, category: str | None = None, lifecycle: str | None = None,
+        format: str | None = None, is_current: bool | None = None, has_mcp: bool | None = None, min_quality: float | None = None,
+    ) -> DataFrame:
+        """Current versions of live skills that pass all the filters given.
+
+        A risk limit admits LOW up to the limit, never UNKNOWN.  Without
+        `lifecycle` archived skills are left out; `format` is the input's or the
+        output's; quality is scored only where `min_quality` asks for it."""
+        s = self.skills()
+        s = live(s) if lifecycle is None else s.where(F.col("lifecycle") == lifecycle)
+        if is_current is not None:
+            s = s.where(F.coalesce("is_current", F.lit(False)) == is_current)
+        d = self.versions().join(s.select(F.col("id").alias("skill_id")), "skill_id", "left_semi")
+        if format is not None:
+            d = d.where((F.col("input_format") == format) | (F.col("output_format") == format))
+        if has_mcp is not None:
+            d = d.where(F.coalesce(json_text("compatibility", "$.mcp_compatible") == "true", F.lit(False)) == has_mcp)
+        if min_quality is not None:
+            d = d.join(self.scores().where(F.col("overall") >= min_quality).select("id"), "id", "left_semi")
         if domain is not None:
             d = d.where(F.col("domain") == domain)
         if repo is not None:
@@ -54,7 +70,7 @@ class Engine:
             d = d.join(c, "id", "left_semi")
         return d
 
-    def list_records(self, limit: int = 50, offset: int = 0, **filters: str) -> DataFrame:
+    def list_records(self, limit: int = 50, offset: int = 0, **filters) -> DataFrame:
         return self.records(**filters).orderBy("skill_id").offset(offset).limit(limit)
 
     def get_record(self, skill_id: str) -> DataFrame:
@@ -63,6 +79,12 @@ class Engine:
             d = d.join(children(self.t[t], "name", t), d["id"] == F.col("version"), "left").drop("version")
         return d
 
+    def compose(self, ids: list[str], strategy: str = "sequential", resolution: str = "warn") -> DataFrame:
+        chosen = self.spark.createDataFrame(list(enumerate(ids)), "pos int, id string")
+        deps = parsing.version_dependencies(self.versions().withColumn("t", F.concat_ws("\n", "summary", "raw_content")), "skill_id", "t", "runtime_requirements")
+        docs = self.rec_docs().join(self.versions().select(F.col("skill_id").alias("id"), "name"), "id")
+        return recommend.composition(chosen, docs, deps, strategy, resolution)
+
     def repos(self) -> DataFrame:
         return self.t["repositories"].orderBy(F.desc("skill_count"), "id")
 
@@ -70,7 +92,7 @@ class Engine:
     def build_index(self, stem: bool = True) -> search.Index:
         return search.build_index(self.versions(), "skill_id", ["name", "summary", "domain", "repo"], stem)
 
-    def search(self, query: str, limit: int = 50, offset: int = 0, mode: str = "any", index: search.Index | None = None, **filters: str) -> DataFrame:
+    def search(self, query: str, limit: int = 50, offset: int = 0, mode: str = "any", index: search.Index | None = None, **filters) -> DataFrame:
         hits = search.bm25(index or self.build_index(), query, mode)
         keep = self.records(**filters).select(F.col("skill_id").alias("id"))
         return search.page(hits.join(keep, "id", "left_semi"), limit, offset)
@@ -138,7 +160,7 @@ class Engine:
     def domains(self) -> DataFrame:
         return A.group_counts(self.versions(), F.coalesce("domain", F.lit("unknown")), "domain")
 
-    def export(self, **filters: str) -> DataFrame:
+    def export(self, **filters) -> DataFrame:
         return E.catalogue_rows(self.records(**filters), self.t["capabilities"], self.t["tags"])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from loomspan.engine import Engine
 from loomspan.functions.text import json_text, json_value, label_key, present, search_tokens
 from loomspan.operators import analytics as A
 from loomspan.operators import recommend as C
@@ -88,6 +89,11 @@ def list_page(spark, sf):
     return d.orderBy("skill_id").offset(5).limit(25).crossJoin(d.agg(F.count("*").alias("total")))
 
 
+def records_filtered(spark, sf):
+    """Records that are current, at least fair, and of a format."""
+    return Engine(spark, sf).records(is_current=True, min_quality=0.5, format="markdown").select("skill_id", "domain")
+
+
 def repos_list(spark, sf):
     r = table(spark, sf, "repositories", "id", "skill_count", "ecosystem")
     n = table(spark, sf, "versions", "source_repo", "skill_id").groupBy(F.col("source_repo").alias("id")).agg(F.count_distinct("skill_id").alias("found"))
@@ -468,7 +474,7 @@ def export_stats(spark, sf):
 
 
 NAMES = """scan_project_filter json_range_filter risk_ordinal_filter semi_join_exists anti_join_orphans left_join_coalesce self_join_theta_pairs latest_version version_numbering
-point_lookup list_page repos_list registry_stats eager_children version_as_of dup_names repo_backfill io_shape snapshot_diff_fields snapshot_diff apply_sync_state sync_history_pivot
+point_lookup list_page records_filtered repos_list registry_stats eager_children version_as_of dup_names repo_backfill io_shape snapshot_diff_fields snapshot_diff apply_sync_state sync_history_pivot
 entity_history roundtrip_diff coverage_report health_checks full_report overall_health gap_lists quality_order_stats quality_histogram quality_bands top_bottom ecosystem_health domain_distribution
 category_distribution risk_distribution nested_map_counts dependency_summary dependency_risks rate_limit_window ttl_cache_hits rec_task_match rec_union_max rec_facets rec_popular
 rec_for_record peer_same_domain compose_overlap compose_conflicts compose_dependencies compose_merge suggest_pairs export_rows_csv export_markdown_lines export_stats""".split()

@@ -87,6 +87,7 @@ SQL = {
     "version_numbering": "SELECT id, skill_id, (row_number() OVER (PARTITION BY skill_id ORDER BY imported_at NULLS FIRST, id))::INT AS n FROM versions WHERE skill_id IS NOT NULL",
     "point_lookup": f"WITH {CV}, {_kids('capabilities', 'kc')}, {_kids('tags', 'kt')} SELECT skill_id, name, coalesce(array_to_string(kc.x, '|'), '') AS caps, coalesce(array_to_string(kt.x, '|'), '') AS tags FROM (SELECT * FROM cv ORDER BY skill_id LIMIT 1) p LEFT JOIN kc ON kc.v = p.id LEFT JOIN kt ON kt.v = p.id",
     "list_page": f"WITH {CV}, d AS (SELECT skill_id, name FROM cv WHERE domain = 'data') SELECT skill_id, name, (SELECT count(*) FROM d) AS total FROM d ORDER BY skill_id LIMIT 25 OFFSET 5",
+    "records_filtered": f"{_QUAL}, {SK} SELECT cv.skill_id, cv.domain FROM cv JOIN ql ON ql.id = cv.id JOIN sk ON sk.id = cv.skill_id WHERE ql.s >= 0.5 AND coalesce(sk.is_current, false) AND sk.lifecycle <> 'archived' AND (input_format = 'markdown' OR output_format = 'markdown')",
     "repos_list": "SELECT r.id, skill_count, (SELECT count(DISTINCT skill_id) FROM versions v WHERE v.source_repo = r.id) AS found, coalesce(ecosystem, 'unknown') AS ecosystem FROM repositories r",
     "registry_stats": " UNION ALL ".join(f"SELECT '{t}' AS what, count(*) AS n FROM {t}" for t in ("skills", "versions", "capabilities", "tags", "repositories")),
     "eager_children": f"WITH {CV} SELECT repo, count(*) AS n, array_to_string(list_slice(list(coalesce(name, '') ORDER BY name NULLS FIRST, skill_id), 1, 3), '|') AS first_names FROM cv WHERE repo IS NOT NULL GROUP BY 1",

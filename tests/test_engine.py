@@ -23,6 +23,18 @@ def test_commands(engine, spark, small_dir):
     assert engine.dependency_graph().count() >= 0
 
 
+def test_filters_and_composition(engine):
+    every = engine.records().count()
+    assert engine.records(is_current=True).count() + engine.records(is_current=False).count() == every
+    assert engine.records(has_mcp=True).count() + engine.records(has_mcp=False).count() == every
+    assert engine.records(min_quality=0.0).count() == every and engine.records(min_quality=1.1).count() == 0
+    assert engine.records(lifecycle="archived").join(engine.records(), "skill_id").count() == 0
+    ids = [r["skill_id"] for r in engine.list_records(2).collect()]
+    c = engine.compose([*ids, "none"]).first()
+    assert c["order"] == [*ids, "none"] and c["errors"] == 1 and not c["valid"]
+    assert engine.recommend_for(ids[0]).where(f"id = '{ids[0]}'").count() == 0
+
+
 def test_plans(engine):
     assert plan_lint(engine.domains()) == []
     assert benchmark("x", engine.domains, 2)["min"] > 0
