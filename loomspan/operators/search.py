@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.text import ACCENTED, BARE, porter, porter_udf, search_tokens
@@ -16,8 +16,7 @@ WEIGHTS = {"name": 5.0, "summary": 2.0, "domain": 1.0, "repo": 1.0}
 
 @dataclass
 class Index:
-    """postings(term, id, field, tf, pos[]), lengths(id, dl); both can be written
-    as parquet partitioned by a hash of term, and read back."""
+    """postings(term, id, field, tf, pos[]), lengths(id, dl); see write_index."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -42,6 +41,23 @@ def build_index(docs: DataFrame, id_col: str, fields: list[str], stem: bool = Fa
     return Index(postings, docs.select(F.col(id_col).alias("id"), sizes.cast("long").alias("dl")), stem, weights or dict(WEIGHTS))
 
 
+def write_index(index: Index, folder: str) -> None:
+    """Writes an index as parquet, postings in ranges of terms and sorted by term.
+
+    A search then reads only the row groups whose range holds its words or
+    prefixes, as both conditions reach the scan.  A term that most documents hold
+    is one range of its own or several, never one task's group."""
+    index.postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{folder}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    meta = index.postings.sparkSession.createDataFrame([(index.stemmed, index.weights)], "stemmed boolean, weights map<string, double>")
+    meta.coalesce(1).write.mode("overwrite").parquet(f"{folder}/meta")
+
+
+def read_index(spark: SparkSession, folder: str) -> Index:
+    meta = spark.read.parquet(f"{folder}/meta").first()
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), meta["stemmed"], dict(meta["weights"]))
+
+
 def _weight(weights: dict[str, float]) -> Column:
     w = F.lit(1.0)
     for f, x in weights.items():

@@ -1,5 +1,6 @@
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from loomspan.functions.text import porter
 from loomspan.operators import search as S
@@ -65,3 +66,17 @@ def test_porter_published_examples():
 def test_empty(spark):
     i = S.build_index(spark.createDataFrame([], "id long, name string, summary string, domain string, repo string"), "id", FIELDS)
     assert S.bm25(i, "foo", "ref").count() == 0
+
+
+def test_index_on_disk_is_pruned(spark, small_dir, tmp_path):
+    v = spark.read.parquet(f"{small_dir}/versions.parquet").where("skill_id IS NOT NULL").dropDuplicates(["skill_id"])
+    index = S.build_index(v, "skill_id", ["name", "summary"], True)
+    S.write_index(index, str(tmp_path))
+    back = S.read_index(spark, str(tmp_path))
+    assert back.stemmed and back.weights == index.weights
+    for mode in ("any", "all", "ref"):
+        assert rows(S.bm25(back, "reviews ledger", mode)) == rows(S.bm25(index, "reviews ledger", mode))
+    hits = back.postings.where(F.col("term").isin("review", "ledger"))
+    plan = hits._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan
+    assert "StringStartsWith(term" in back.postings.where(F.startswith("term", F.lit("rev")))._jdf.queryExecution().toString()
