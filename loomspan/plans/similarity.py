@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomspan.operators import similarity as D
+from loomspan.operators.allpairs import similar_sets
 from loomspan.operators.records import current_versions
 from loomspan.plans.common import CV, rounded
 from loomspan.session import table
@@ -27,9 +28,7 @@ def dedup_exact(spark, sf):
 
 def dedup_jaccard(spark, sf):
     """Pairs of current versions whose summaries share half of their words."""
-    f = _prints(spark, sf)
-    pairs = D.set_candidates(f, "words", 0.5)
-    return D.score_pairs(f, pairs, name_score=D.edit_ratio).where("summary >= 0.5").select("a", "b", rounded(F.col("summary")).alias("jaccard"))
+    return similar_sets(_prints(spark, sf), "words", 0.5, 6)
 
 
 def similar(spark, sf, name_score=D.edit_ratio):
