@@ -1,9 +1,9 @@
 """Similarity of records in five dimensions, with exact blocking (DD-*, ST-*).
 
 overall = .30 name + .20 summary + .35 capabilities + .10 content + .05 source.
-A pair without equal content or source can only reach `least` if the summary or
-the capability overlap alone is large enough, so candidates come from prefix
-filtered set joins and two equi-joins, and no pair of the cross join is lost.
+Pairs are found block by block (see allpairs); names are compared only where the
+other dimensions and the letters that two names share leave the pair a chance,
+and no pair of the cross join is lost.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loomspan.functions.text import name_key, word_set
+from loomspan.operators.allpairs import similar_records
 
 WEIGHTS = {"name": 0.30, "summary": 0.20, "caps": 0.35, "content": 0.10, "source": 0.05}
 CLASSES = ((0.95, "EXACT_DUPLICATE"), (0.80, "NEAR_DUPLICATE"), (0.60, "FUNCTIONAL_OVERLAP"), (0.40, "RELATED"))
@@ -49,46 +50,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def set_candidates(f: DataFrame, column: str, threshold: float) -> DataFrame:
-    """(x, y), x < y: pairs that can reach the Jaccard threshold on `column`.
-
-    Only the n - ceil(t n) + 1 rarest elements of a set are joined, so a common
-    element is never a join key unless a set has no rarer ones."""
-    sets = f.select("id", column, F.size(column).alias("n")).where("n > 0")
-    each = sets.select("id", "n", F.explode(column).alias("e"))
-    freq = each.groupBy("e").agg(F.count("*").alias("f"))
-    ranked = each.join(freq, "e").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "e"))).alias("r"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    pre = ranked.select("id", "n", F.explode(F.slice("r", F.lit(1), keep)).alias("s")).select("id", "n", F.col("s.e").alias("e"))
-    a, b = pre.alias("a"), pre.alias("b")
-    size = (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9) & (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9)
-    return a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & size).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
-
-
-def equal_candidates(f: DataFrame, column: str) -> DataFrame:
-    """Pairs with an equal non-empty key."""
-    k = f.select("id", F.col(column).alias("k")).where("k IS NOT NULL AND k <> '' AND k <> '/'")
-    return k.alias("a").join(k.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-
-
-def candidates(f: DataFrame, least: float, weights: dict[str, float]) -> DataFrame:
-    """A lossless superset of the pairs with overall >= least."""
-    need = least - weights["name"]
-    if need <= 0:  # a name alone may be enough: every pair is a candidate
-        return f.alias("a").join(f.alias("b"), F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    # need <= ws*s + wc*c, so ws*s >= 0.9*need or wc*c >= 0.1*need.  Summaries have
-    # common words and get the strict part; capability sets are small and rare.
-    strict = 0.9 * need / weights["summary"] - 1e-6
-    loose = 0.1 * need / weights["caps"] - 1e-6
-    out = set_candidates(f, "words", strict).union(set_candidates(f, "caps", loose)) if strict <= 1 else set_candidates(f, "caps", loose)
-    return out.union(equal_candidates(f, "hash")).union(equal_candidates(f, "source")).distinct()
-
-
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; there is no built-in, so it runs on
-    candidate pairs only, vectors of pairs at a time."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+    candidate pairs only, vectors of pairs at a time, once for equal pairs."""
+    seen = {(x, y): SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in set(zip(a, b))}
+    return pd.Series([seen[p] for p in zip(a, b)], dtype=float)
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -104,17 +71,12 @@ def classify(score: Column) -> Column:
     return out
 
 
-def score_pairs(f: DataFrame, pairs: DataFrame, weights: dict[str, float] | None = None, name_score=ratio, least: float | None = None) -> DataFrame:
-    """(a, b, name, summary, caps, content, source, overall, class) of pairs(x, y).
-
-    With `least`, the four built-in dimensions come first, and the name is scored
-    only where it can still lift the pair to `least`: a name's score is at most
-    twice the shorter length over both lengths."""
-    w = weights or WEIGHTS
+def score_pairs(f: DataFrame, pairs: DataFrame, weights: dict[str, float] | None = None, name_score=ratio) -> DataFrame:
+    """(a, b, name, summary, caps, content, source, overall, class) of pairs(x, y)."""
     a = f.select(*[F.col(c).alias(f"a_{c}") for c in f.columns])
     b = f.select(*[F.col(c).alias(f"b_{c}") for c in f.columns])
     j = pairs.join(a, F.col("x") == F.col("a_id")).join(b, F.col("y") == F.col("b_id"))
-    same = lambda c: F.when((F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != "") & (F.col(f"a_{c}") != "/"), 1.0).otherwise(0.0)
+    same = lambda c, *none: F.when((F.col(f"a_{c}") == F.col(f"b_{c}")) & ~F.col(f"a_{c}").isin(*none), 1.0).otherwise(0.0)
     d = j.select(
         F.col("x").alias("a"),
         F.col("y").alias("b"),
@@ -122,14 +84,14 @@ def score_pairs(f: DataFrame, pairs: DataFrame, weights: dict[str, float] | None
         "b_name_n",
         jaccard(F.col("a_words"), F.col("b_words")).alias("summary"),
         jaccard(F.col("a_caps"), F.col("b_caps")).alias("caps"),
-        F.coalesce(same("hash"), F.lit(0.0)).alias("content"),
-        same("source").alias("source"),
+        same("hash", "").alias("content"),
+        same("source", "", "/").alias("source"),
     )
-    rest = w["summary"] * F.col("summary") + w["caps"] * F.col("caps") + w["content"] * F.col("content") + w["source"] * F.col("source")
-    if least is not None:
-        la, lb = F.length("a_name_n"), F.length("b_name_n")
-        bound = F.when(la + lb == 0, F.lit(0.0)).otherwise(2 * F.least(la, lb) / (la + lb))
-        d = d.where((rest + w["name"] * bound >= least - 1e-9) | (F.col("content") == 1) | (F.col("source") == 1))
+    return _overall(d, weights or WEIGHTS, name_score)
+
+
+def _overall(d: DataFrame, w: dict[str, float], name_score) -> DataFrame:
+    """The name's score, the weighted sum with its two overrides, and the class."""
     d = d.withColumn("name", name_score(F.col("a_name_n"), F.col("b_name_n")))
     total = w["name"] * F.col("name") + w["summary"] * F.col("summary") + w["caps"] * F.col("caps") + w["content"] * F.col("content") + w["source"] * F.col("source")
     total = F.when(F.col("content") == 1, F.greatest(total, F.lit(0.99))).otherwise(total)
@@ -140,7 +102,7 @@ def score_pairs(f: DataFrame, pairs: DataFrame, weights: dict[str, float] | None
 def detect_duplicates(f: DataFrame, least: float = 0.40, weights: dict[str, float] | None = None, name_score=ratio) -> DataFrame:
     """All pairs with overall >= least."""
     w = weights or WEIGHTS
-    return score_pairs(f, candidates(f, least, w), w, name_score, least).where(F.col("overall") >= least)
+    return _overall(similar_records(f, least, w), w, name_score).where(F.col("overall") >= least)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
