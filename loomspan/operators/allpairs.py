@@ -1,8 +1,9 @@
 """All similar pairs of records, a pair of blocks in each task (DD-*).
 
-Records fall into blocks by the hash of their id, and each pair of blocks is one
-task, so what is written between tasks is the records, once for each block, and
-never a candidate pair.  Inside a task every pair is looked at: the parity
+Records fall into blocks of about equal size by their order, each block is one
+row of the checkpoint folder, and each pair of blocks is one task that reads its
+two rows there.  So the records are shuffled once, however many blocks there are,
+and never a candidate pair.  Inside a task no pair is left out unseen: the parity
 sketches of two sets differ in at most as many bits as the sets have elements
 that are not common, so one xor and one population count bound the Jaccard
 index from above, and what the bound leaves is counted exactly.
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,32 +27,46 @@ from loomspan.session import cut_lineage
 BLOCK, BLOCKS, MOST, FEW = 8_000, 32, 50_000, 4
 #: Pairs held at once, rows of a batch, elements of a set that stand in one matrix.
 HELD, BATCH, WIDE = 2_000_000, 50_000, 32
+#: A pair of rows as one number: the left one from this bit on.
+SHIFT, LOW = 32, (1 << 32) - 1
+#: Names are compared first where there are so many times more pairs of rows.
+FEWER = 3
 ONE = np.uint64(1)
 
 
-def _in_blocks(f: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """`run` over each pair of blocks of f(id, ...)."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition as one row: its number, and its records as an Arrow file."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_file(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
+        w.write_table(pa.Table.from_batches(parts).combine_chunks())
+    yield pa.RecordBatch.from_pydict({"block": pa.array([TaskContext.get().partitionId()], pa.int32()), "records": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def _in_blocks(f: DataFrame, run: Callable, schema: str, order: tuple[str, ...]) -> DataFrame:
+    """`run` over each pair of blocks of f(id, ...), which are ranges of `order`."""
     f = cut_lineage(f)
     n = f.count()
     k = max(1, min(BLOCKS, math.ceil(n / BLOCK)), min(FEW, n // 250), math.ceil(n / MOST))
-    own = F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
-    d = f.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    d = d.select(*f.columns, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    pair = (F.col("lo") * k - F.expr("lo * (lo - 1) div 2") + F.col("hi") - F.col("lo")).cast("int")
-    d = d.select(*f.columns, (F.col("own") == F.col("lo")).alias("left"), (F.col("lo") == F.col("hi")).alias("same"), pair.alias("pair"))
-    return d.repartitionById(k * (k + 1) // 2, "pair").drop("pair").mapInArrow(run, schema)
+    d = cut_lineage(f.repartitionByRange(k, *order).mapInArrow(_pack, "block int, records binary"))
+    # a Cartesian product reads the checkpoint's partitions where they are
+    left, right = (d.select(F.col("block").alias(f"{x}_block"), F.col("records").alias(x)) for x in ("left", "right"))
+    return left.hint("shuffle_replicate_nl").join(right, F.col("left_block") <= F.col("right_block")).mapInArrow(run, schema)
 
 
-def _sides(batches: Iterator[pa.RecordBatch], size_of: str) -> tuple[pa.Table, pa.Table, bool] | None:
-    """Both blocks, by the size of a set, and whether they are the same."""
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return None
-    t = pa.Table.from_batches(parts).combine_chunks()
-    t = t.take(pc.sort_indices(pc.list_value_length(t[size_of])))
-    if t["same"][0].as_py():
-        return t, t, True
-    return t.filter(t["left"]), t.filter(pc.invert(t["left"])), False
+def _sides(batches: Iterator[pa.RecordBatch], size_of: str) -> Iterator[tuple[pa.Table, pa.Table, bool]]:
+    """Both blocks of each pair, by the size of a set, and whether they are the same."""
+
+    def block(at: pa.Scalar) -> pa.Table:
+        t = pa.ipc.open_file(at.as_buffer()).read_all()
+        return t.take(pc.sort_indices(pc.list_value_length(t[size_of])))
+
+    for b in batches:
+        for r in range(b.num_rows):
+            left, same = block(b["left"][r]), b["left_block"][r] == b["right_block"][r]
+            yield left, left if same else block(b["right"][r]), same
 
 
 def _flat(c: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
@@ -168,15 +184,30 @@ def _index(both: np.ndarray, all_: np.ndarray) -> np.ndarray:
     return np.divide(both, all_, out=np.zeros(len(both)), where=both > 0)
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each is there."""
+    if not len(keys):
+        return keys, keys
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.diff(np.append(at, len(keys)))
+
+
+def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which keys are among the ordered ones."""
+    if not len(ordered):
+        return np.zeros(len(keys), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
+
+
 class Ids:
     """The ids of two blocks and their order."""
 
     def __init__(self, left: pa.Table, right: pa.Table):
-        self.ids = pa.concat_arrays([x["id"].combine_chunks() if isinstance(x["id"].combine_chunks(), pa.Array) else pa.concat_arrays(x["id"].chunks) for x in (left, right)]) if left.num_rows and right.num_rows else None
-        if self.ids is not None:
-            self.rank = np.empty(len(self.ids), np.int64)
-            self.rank[pc.sort_indices(self.ids).to_numpy()] = np.arange(len(self.ids))
-            self.n = left.num_rows
+        self.ids = pa.concat_arrays([c for x in (left, right) for c in x["id"].chunks])
+        self.rank = np.empty(len(self.ids), np.int64)
+        self.rank[pc.sort_indices(self.ids).to_numpy()] = np.arange(len(self.ids))
+        self.n = left.num_rows
 
     def ordered(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the lesser and the greater id."""
@@ -196,13 +227,11 @@ def similar_sets(f: DataFrame, column: str, threshold: float, digits: int | None
     empty set is like no other."""
 
     def run(batches):
-        got = _sides(batches, column)
-        if got is None:
-            return
-        left, right, same = got
+        for sides in _sides(batches, column):
+            yield from pairs(*sides)
+
+    def pairs(left, right, same):
         ids = Ids(left, right)
-        if ids.ids is None:
-            return
         a, b, values = _sets(left[column], right[column])
         slack = 0.0 if digits is None else 10.0**-digits
         near, over = Near(a, b, threshold - slack, same, _bits([a, b], len(a.at) + len(b.at))), Overlap(a, b, values)
@@ -232,15 +261,17 @@ def similar_sets(f: DataFrame, column: str, threshold: float, digits: int | None
             yield from out()
 
     kind = f.schema["id"].dataType.simpleString()
-    return _in_blocks(f.select("id", column), run, f"a {kind}, b {kind}, jaccard double")
+    return _in_blocks(f.select("id", column), run, f"a {kind}, b {kind}, jaccard double", ("id",))
 
 
 class Names:
     """Upper bounds of the similarity of names: by their letters, and by their
-    longest common subsequence."""
+    longest common subsequence.  Equal names of a side are held once; `left` and
+    `right` tell the name of each row."""
 
     def __init__(self, left: pa.ChunkedArray, right: pa.ChunkedArray):
-        texts = [[x or "" for x in c.to_pylist()] for c in (left, right)]
+        (self.left, first), (self.right, second) = (self._distinct(c) for c in (left, right))
+        texts = [first, second]
         self.la, self.lb = (np.array([len(x) for x in t], np.int64) for t in texts)
         flat = [np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         letters, at = np.unique(np.concatenate(flat), return_inverse=True)
@@ -257,6 +288,12 @@ class Names:
         self.text = np.full((int(np.minimum(self.lb, 64).max(initial=0)), len(self.lb)), 64, np.uint8)
         self.text[where[1], where[0]] = code
 
+    @staticmethod
+    def _distinct(c: pa.ChunkedArray) -> tuple[np.ndarray, list[str]]:
+        d = pc.fill_null(c, "").combine_chunks().dictionary_encode()
+        d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+        return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+
     @staticmethod
     def _letters(at: np.ndarray, n: np.ndarray) -> np.ndarray:
         """The parity sketch of (letter, its how manieth)."""
@@ -293,11 +330,56 @@ class Names:
         return self._score(common + np.maximum(self.la[i] - 64, 0) + np.maximum(self.lb[j] - 64, 0), i, j)
 
 
+class Alike:
+    """Pairs of rows whose names and word sets together allow `least`, told by
+    the distinct names first: these are fewer than the rows, and few are alike."""
+
+    def __init__(self, names: Names, near: Near, name: float, summary: float, least: float):
+        self.names, self.near, self.name, self.summary, self.least = names, near, name, summary, least
+        order = np.argsort(names.right, kind="stable")
+        begin = np.concatenate([[0], np.cumsum(np.bincount(names.right, minlength=len(names.lb)))])
+        self.rows, self.score, every = [], [], np.arange(len(names.lb))
+        held: list[np.ndarray] = []
+
+        def take():
+            """The right rows of the names held."""
+            at, g = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+            score = names.by_order(g + len(self.rows), at)
+            keep = name * score + summary >= least - 1e-9
+            at, g, score = at[keep], g[keep], score[keep]
+            n = begin[at + 1] - begin[at]
+            rows = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - begin[at], n)]
+            ends = np.cumsum(np.bincount(g, weights=n, minlength=len(held)).astype(np.int64))[:-1]
+            self.rows += np.split(rows, ends)
+            self.score += np.split(np.repeat(score, n), ends)
+            held.clear()
+
+        for g in range(len(names.la)):
+            held.append(np.flatnonzero(name * names.by_letters(np.int64(g), every) + summary >= least - 1e-9))
+            if sum(len(x) for x in held) >= BATCH or len(held) == 64:
+                take()
+        if held:
+            take()
+        self.size = np.array([len(x) for x in self.rows], np.int64)
+
+    def of(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        g, near = self.names.left[lo:hi], self.near
+        i, j = np.repeat(np.arange(lo, hi), self.size[g]), np.concatenate([self.rows[x] for x in g])
+        score = np.concatenate([self.score[x] for x in g])
+        if near.same:
+            keep = j > i
+            i, j, score = i[keep], j[keep], score[keep]
+        a, b = near.left.size[i], near.right.size[j]
+        both = np.minimum((a + b - near.apart(i, j)) // 2, np.minimum(a, b))
+        keep = self.name * score + self.summary * _index(both, a + b - both) >= self.least - 1e-9
+        return i[keep], j[keep]
+
+
 class Shared:
     """Pairs of rows that share an element, once for each that they share."""
 
     def __init__(self, left: Sets, right: Sets, values: int, same: bool):
-        self.left, self.m, self.same = left, len(right.size), same
+        self.left, self.same = left, same
         self.rows = right.row[np.argsort(right.at, kind="stable")]
         self.begin = np.concatenate([[0], np.cumsum(np.bincount(right.at, minlength=values))])
         many = np.zeros(len(left.size) + 1, np.int64)
@@ -312,13 +394,15 @@ class Shared:
         i, j = np.repeat(row, n), self.rows[place]
         if self.same:
             i, j = i[j > i], j[j > i]
-        return i * self.m + j
+        return (i << SHIFT) | j
 
 
 def _equal(left: pa.ChunkedArray, right: pa.ChunkedArray, none: tuple[str, ...]) -> tuple[Sets, Sets, int]:
     """Values as sets of one, or of none where nothing is told."""
-    told = [np.array([x is not None and x not in none for x in c.to_pylist()], bool) for c in (left, right)]
-    flat = [pa.array([x for x in c.to_pylist() if x is not None and x not in none], pa.string()) for c in (left, right)]
+    told = [pc.and_(pc.is_valid(c), pc.invert(pc.is_in(c, value_set=pa.array(none, c.type)))) for c in (left, right)]
+    flat = [c.filter(t).combine_chunks() for c, t in zip((left, right), told)]
+    flat = [pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in flat]
+    told = [t.to_numpy().astype(bool) for t in told]
     x, y, n = _numbered(*flat)
     return Sets(x, told[0].astype(np.int64)), Sets(y, told[1].astype(np.int64)), n
 
@@ -331,70 +415,82 @@ def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFram
     The name's score is taken to be at most twice the longest common subsequence
     over both lengths, which holds for the edit distance and for matching blocks.
     A pair that shares no capability, content or source needs a summary of
-    (least - name) / summary, which the sketches find; the other pairs are told by
-    what they share."""
+    (least - name) / summary.  Such pairs are found by their names, which the
+    order of the blocks keeps together, or by the sketches alone where the names
+    of two blocks are mostly distinct or rule out little; the other pairs are told
+    by what they share."""
     alone = (least - w["name"]) / w["summary"] - 1e-9 if w["summary"] > 0 else (0.0 if w["name"] >= least else 2.0)
 
     def run(batches):
-        got = _sides(batches, "words")
-        if got is None:
-            return
-        left, right, same = got
+        for sides in _sides(batches, "words"):
+            yield from pairs(*sides)
+
+    def pairs(left, right, same):
         ids = Ids(left, right)
-        if ids.ids is None:
-            return
         a, b, values = _sets(left["words"], right["words"])
         near, over = Near(a, b, alone, same, _bits([a, b], len(a.at) + len(b.at))), Overlap(a, b, values)
         ca, cb, no = _sets(left["caps"], right["caps"])
-        links = [Shared(ca, cb, no, same)] + [Shared(*_equal(left[c], right[c], none), same) for c, none in (("hash", ("",)), ("source", ("", "/")))]
+        by_caps, *links = [Shared(ca, cb, no, same)] + [Shared(*_equal(left[c], right[c], none), same) for c, none in (("hash", ("",)), ("source", ("", "/")))]
         names = Names(left["name_n"], right["name_n"])
-        texts = pa.concat_arrays([pa.array([x or "" for x in c["name_n"].to_pylist()], pa.string()) for c in (left, right)])
-        m, many = right.num_rows, sum(x.many for x in links)
-
-        def rest(caps, content, source):
-            return w["caps"] * caps + w["content"] * content + w["source"] * source - least + 1e-9
+        texts = pa.concat_arrays([x for c in (left, right) for x in pc.fill_null(c["name_n"], "").chunks])
+        m, many = right.num_rows, by_caps.many + sum(x.many for x in links)
+        alike = None
+        if 0 < alone <= 1 and w["summary"] < least and FEWER * len(names.la) * len(names.lb) <= left.num_rows * m:
+            alike = Alike(names, near, w["name"], w["summary"], least)
+
+        def own(lo, hi):
+            """The pairs that may have nothing in common but words."""
+            if alike:
+                return alike.of(lo, hi)
+            js = [near.of(i) for i in range(lo, hi)] if alone <= 1 else [np.zeros(0, np.int64)] * (hi - lo)
+            return np.repeat(np.arange(lo, hi), [len(x) for x in js]), np.concatenate(js)
+
+        def bound(i, j, value):
+            """What sketches of words, and letters, allow."""
+            n, least_n = a.size[i] + b.size[j], np.minimum(a.size[i], b.size[j])
+            both = np.minimum((n - near.apart(i, j)) // 2, least_n)
+            value = value + w["summary"] * _index(both, n - both)
+            keep = np.flatnonzero(w["name"] + value >= 0)
+            return keep[w["name"] * names.by_letters(names.left[i[keep]], names.right[j[keep]]) + value[keep] >= 0]
 
         lo = 0
         while lo < left.num_rows:
             hi = min(lo + max(1, min(512, HELD // m)), max(lo + 1, int(np.searchsorted(many, many[lo] + HELD, "right")) - 1), left.num_rows)
-            found = [x.keys(lo, hi) for x in links]
-            u, inv = np.unique(np.concatenate(found), return_inverse=True)
-            parts = np.split(inv.reshape(-1), np.cumsum([len(x) for x in found])[:-1])
-            shared, content, source = (np.bincount(p, minlength=len(u)) for p in parts)
-            keys, cs = [u], [shared]
-            # with nothing in common but words
-            own = [near.of(i) for i in range(lo, hi)] if alone <= 1 else []
-            if own:
-                i, j = np.repeat(np.arange(lo, hi), [len(x) for x in own]), np.concatenate(own)
-                k = i * m + j
-                if len(u):
-                    k = k[u[np.minimum(np.searchsorted(u, k), len(u) - 1)] != k]
-                keys.append(k)
-                cs.append(np.zeros(len(k), np.int64))
-            more = np.zeros(len(keys[-1]) if own else 0, np.int64)
-            k, c, content, source = np.concatenate(keys), np.concatenate(cs), np.concatenate([content, more]), np.concatenate([source, more])
-            i, j = k // m, k % m
+            # pairs of equal content or source, and how many capabilities the others share
+            content, source = (np.unique(x.keys(lo, hi)) for x in links)
+            sure = np.union1d(content, source)
+            k, c = _counted(by_caps.keys(lo, hi))
+            at = np.minimum(np.searchsorted(k, sure), max(0, len(k) - 1))
+            both = np.where(k[at] == sure, c[at], 0) if len(k) else np.zeros(len(sure), np.int64)
+            i, j = k >> SHIFT, k & LOW
             caps = _index(c, ca.size[i] + cb.size[j] - c)
-            # what sketches and letters allow
-            n = a.size[i] + b.size[j]
-            both = np.minimum((n - near.apart(i, j)) // 2, np.minimum(a.size[i], b.size[j]))
-            value = rest(caps, content, source)
-            keep = np.flatnonzero((w["name"] * names.by_letters(i, j) + w["summary"] * _index(both, n - both) + value >= 0) | (content > 0) | (source > 0))
-            keep = keep[np.argsort(k[keep], kind="stable")]
-            i, j, caps, content, source, value = i[keep], j[keep], caps[keep], content[keep], source[keep], value[keep]
+            keep = bound(i, j, w["caps"] * caps - least + 1e-9)
+            i2, j2 = own(lo, hi)
+            more = (i2 << SHIFT) | j2
+            if not alike:
+                kept = bound(i2, j2, np.full(len(i2), 1e-9 - least))
+                more = more[kept]
+            more = more[~_among(more, k)]
+            key, caps = np.concatenate([k[keep], more]), np.concatenate([caps[keep], np.zeros(len(more))])
+            other = ~_among(key, sure)
+            i, j = sure >> SHIFT, sure & LOW
+            key, caps = np.concatenate([key[other], sure]), np.concatenate([caps[other], _index(both, ca.size[i] + cb.size[j] - both)])
+            order = np.argsort(key, kind="stable")
+            key, caps = key[order], caps[order]
+            i, j, content, source = key >> SHIFT, key & LOW, _among(key, content), _among(key, source)
             # words counted
             at = np.searchsorted(i, np.arange(lo, hi + 1))
             c = np.concatenate([np.zeros(0, np.int64)] + [over.count(lo + x, j[at[x] : at[x + 1]]) for x in np.flatnonzero(np.diff(at))])
             summary = _index(c, a.size[i] + b.size[j] - c)
-            value += w["summary"] * summary
-            sure = (content > 0) | (source > 0)
-            keep = np.flatnonzero((w["name"] * names.by_letters(i, j) + value >= 0) | sure)
-            i, j, caps, content, source, value, summary, sure = (x[keep] for x in (i, j, caps, content, source, value, summary, sure))
-            keep = np.flatnonzero((w["name"] * names.by_order(i, j) + value >= 0) | sure)
-            if len(keep):
-                x, y = ids.ordered(i[keep], j[keep])
-                yield from _batches(a=ids.ids.take(x), b=ids.ids.take(y), a_name_n=texts.take(x), b_name_n=texts.take(y), summary=summary[keep], caps=caps[keep], content=content[keep].astype(float), source=source[keep].astype(float))
+            value = w["summary"] * summary + w["caps"] * caps + w["content"] * content + w["source"] * source - least + 1e-9
+            told = content | source
+            for limit in (names.by_letters, names.by_order):
+                keep = np.flatnonzero((w["name"] * limit(names.left[i], names.right[j]) + value >= 0) | told)
+                i, j, caps, content, source, value, summary, told = (x[keep] for x in (i, j, caps, content, source, value, summary, told))
+            if len(i):
+                x, y = ids.ordered(i, j)
+                yield from _batches(a=ids.ids.take(x), b=ids.ids.take(y), a_name_n=texts.take(x), b_name_n=texts.take(y), summary=summary, caps=caps, content=content.astype(float), source=source.astype(float))
             lo = hi
 
     kind = f.schema["id"].dataType.simpleString()
-    return _in_blocks(f.select("id", "name_n", "words", "caps", "hash", "source"), run, f"a {kind}, b {kind}, a_name_n string, b_name_n string, summary double, caps double, content double, source double")
+    return _in_blocks(f.select("id", "name_n", "words", "caps", "hash", "source"), run, f"a {kind}, b {kind}, a_name_n string, b_name_n string, summary double, caps double, content double, source double", ("name_n", "id"))
