@@ -35,38 +35,44 @@ ONE = np.uint64(1)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition as one row: its number, and its records as an Arrow file."""
+    """A partition as one row: its number, whether it holds an end (see
+    similar_records), and its records as an Arrow file."""
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
     sink = pa.BufferOutputStream()
     with pa.ipc.new_file(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
-        w.write_table(pa.Table.from_batches(parts).combine_chunks())
-    yield pa.RecordBatch.from_pydict({"block": pa.array([TaskContext.get().partitionId()], pa.int32()), "records": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+        w.write_table(t := pa.Table.from_batches(parts).combine_chunks())
+    ends = "end" not in t.column_names or bool(pc.any(t["end"]).as_py())
+    yield pa.RecordBatch.from_pydict({"block": pa.array([TaskContext.get().partitionId()], pa.int32()), "ends": pa.array([ends]), "records": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
 def _in_blocks(f: DataFrame, run: Callable, schema: str, order: tuple[str, ...]) -> DataFrame:
-    """`run` over each pair of blocks of f(id, ...), which are ranges of `order`."""
+    """`run` over each pair of blocks of f(id, ...), which are ranges of `order`;
+    where f tells ends, over the pairs of which a block holds one."""
     f = cut_lineage(f)
     n = f.count()
     k = max(1, min(BLOCKS, math.ceil(n / BLOCK)), min(FEW, n // 250), math.ceil(n / MOST))
-    d = cut_lineage(f.repartitionByRange(k, *order).mapInArrow(_pack, "block int, records binary"))
+    d = cut_lineage(f.repartitionByRange(k, *order).mapInArrow(_pack, "block int, ends boolean, records binary"))
     # a Cartesian product reads the checkpoint's partitions where they are
-    left, right = (d.select(F.col("block").alias(f"{x}_block"), F.col("records").alias(x)) for x in ("left", "right"))
-    return left.hint("shuffle_replicate_nl").join(right, F.col("left_block") <= F.col("right_block")).mapInArrow(run, schema)
+    left, right = (d.select(F.col("block").alias(f"{x}_block"), F.col("ends").alias(f"{x}_ends"), F.col("records").alias(x)) for x in ("left", "right"))
+    both = (F.col("left_block") <= F.col("right_block")) & (F.col("left_ends") | F.col("right_ends"))
+    return left.hint("shuffle_replicate_nl").join(right, both).mapInArrow(run, schema)
 
 
 def _sides(batches: Iterator[pa.RecordBatch], size_of: str) -> Iterator[tuple[pa.Table, pa.Table, bool]]:
-    """Both blocks of each pair, by the size of a set, and whether they are the same."""
+    """Both blocks of each pair, by the size of a set, and whether they are the
+    same.  Against a block without ends, only the ends of the other are given."""
 
-    def block(at: pa.Scalar) -> pa.Table:
+    def block(at: pa.Scalar, only: bool) -> pa.Table:
         t = pa.ipc.open_file(at.as_buffer()).read_all()
+        t = t.filter(t["end"]) if only else t
         return t.take(pc.sort_indices(pc.list_value_length(t[size_of])))
 
     for b in batches:
         for r in range(b.num_rows):
-            left, same = block(b["left"][r]), b["left_block"][r] == b["right_block"][r]
-            yield left, left if same else block(b["right"][r]), same
+            left, same = block(b["left"][r], not b["right_ends"][r].as_py()), b["left_block"][r] == b["right_block"][r]
+            yield left, left if same else block(b["right"][r], not b["left_ends"][r].as_py()), same
 
 
 def _flat(c: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
@@ -410,7 +416,8 @@ def _equal(left: pa.ChunkedArray, right: pa.ChunkedArray, none: tuple[str, ...])
 def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFrame:
     """(a, b, a_name_n, b_name_n, summary, caps, content, source), a < b: the pairs
     of f(id, name_n, words, caps, hash, source) that can reach `least`, and all of
-    equal content or source; every score but the name's is exact.
+    equal content or source; every score but the name's is exact.  With a boolean
+    column `end` in f, the pairs of which one record at least is an end.
 
     The name's score is taken to be at most twice the longest common subsequence
     over both lengths, which holds for the edit distance and for matching blocks.
@@ -433,6 +440,7 @@ def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFram
         by_caps, *links = [Shared(ca, cb, no, same)] + [Shared(*_equal(left[c], right[c], none), same) for c, none in (("hash", ("",)), ("source", ("", "/")))]
         names = Names(left["name_n"], right["name_n"])
         texts = pa.concat_arrays([x for c in (left, right) for x in pc.fill_null(c["name_n"], "").chunks])
+        end = [x["end"].to_numpy() for x in (left, right)] if "end" in left.column_names else None
         m, many = right.num_rows, by_caps.many + sum(x.many for x in links)
         alike = None
         if 0 < alone <= 1 and w["summary"] < least and FEWER * len(names.la) * len(names.lb) <= left.num_rows * m:
@@ -475,6 +483,9 @@ def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFram
             other = ~_among(key, sure)
             i, j = sure >> SHIFT, sure & LOW
             key, caps = np.concatenate([key[other], sure]), np.concatenate([caps[other], _index(both, ca.size[i] + cb.size[j] - both)])
+            if end:
+                keep = end[0][key >> SHIFT] | end[1][key & LOW]
+                key, caps = key[keep], caps[keep]
             order = np.argsort(key, kind="stable")
             key, caps = key[order], caps[order]
             i, j, content, source = key >> SHIFT, key & LOW, _among(key, content), _among(key, source)
@@ -493,4 +504,6 @@ def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFram
             lo = hi
 
     kind = f.schema["id"].dataType.simpleString()
-    return _in_blocks(f.select("id", "name_n", "words", "caps", "hash", "source"), run, f"a {kind}, b {kind}, a_name_n string, b_name_n string, summary double, caps double, content double, source double", ("name_n", "id"))
+    ends = ["end"] if "end" in f.columns else []  # ends stand together, in few blocks
+    f = f.select("id", "name_n", "words", "caps", "hash", "source", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ends])
+    return _in_blocks(f, run, f"a {kind}, b {kind}, a_name_n string, b_name_n string, summary double, caps double, content double, source double", (*ends, "name_n", "id"))

@@ -100,7 +100,8 @@ def _overall(d: DataFrame, w: dict[str, float], name_score) -> DataFrame:
 
 
 def detect_duplicates(f: DataFrame, least: float = 0.40, weights: dict[str, float] | None = None, name_score=ratio) -> DataFrame:
-    """All pairs with overall >= least."""
+    """All pairs with overall >= least; with a column `end` in f, all of which one
+    record at least is an end."""
     w = weights or WEIGHTS
     return _overall(similar_records(f, least, w), w, name_score).where(F.col("overall") >= least)
 

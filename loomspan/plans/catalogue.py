@@ -269,8 +269,9 @@ def gap_lists(spark, sf):
 
 
 def _quality(spark, sf):
-    """(id, overall) of the current versions' quality."""
-    return docs(spark, sf).select("id", "skill_id", "repo").join(scored(spark, sf).select("id", "overall"), "id")
+    """(id, overall) of the current versions' quality; only their texts are scored."""
+    d = docs(spark, sf).select("id", "skill_id", "repo")
+    return d.join(scored(spark, sf, d).select("id", "overall"), "id")
 
 
 def quality_order_stats(spark, sf):
@@ -387,9 +388,10 @@ def _installed(records):
 
 
 def _recommended(spark, sf, task, limit):
-    """All signals; records and pairs are read several times and written once."""
+    """All signals; records and pairs are read several times and written once.
+    Only what is similar to the installed records is asked for."""
     d = cut_lineage(_rec_docs(spark, sf, task is None))
-    return C.recommend(d, task, _installed(d), cut_lineage(both_ways(similar(spark, sf))), limit)
+    return C.recommend(d, task, _installed(d), cut_lineage(both_ways(similar(spark, sf, of=_installed(d)))), limit)
 
 
 TASK = "review the data"

@@ -26,9 +26,12 @@ def license_detect(spark, sf):
     return Q.with_scan(_v(spark, sf, "raw_content"), "raw_content").select("id", Q.license_name().alias("license"))
 
 
-def scored(spark, sf):
-    """All scores of every version; no table tells stars, so they are 0."""
+def scored(spark, sf, of=None):
+    """All scores of every version, or of those in of(id); no table tells stars, so
+    they are 0."""
     v = _v(spark, sf, "source_repo", "name", "summary", "raw_content", "domain_primary", "input_format", "output_format", "runtime_requirements", "license", "imported_at").withColumn("stars", F.lit(0))
+    if of is not None:
+        v = v.join(of.select("id"), "id", "left_semi")
     return Q.score_versions(v, table(spark, sf, "capabilities", "version_id_fk"), table(spark, sf, "tags", "version_id_fk"), table(spark, sf, "repositories", "id", "license"))
 
 

@@ -8,7 +8,7 @@ from loomspan.operators import similarity as D
 from loomspan.operators.allpairs import similar_sets
 from loomspan.operators.records import current_versions
 from loomspan.plans.common import CV, rounded
-from loomspan.session import table
+from loomspan.session import broadcast_if_small, table
 
 COLUMNS = ("id", "skill_id", "imported_at", "name", "summary", "source_repo", "source_path", "source_content_hash")
 
@@ -31,9 +31,14 @@ def dedup_jaccard(spark, sf):
     return similar_sets(_prints(spark, sf), "words", 0.5, 6)
 
 
-def similar(spark, sf, name_score=D.edit_ratio):
-    """Similar pairs of current versions in all dimensions."""
-    return D.detect_duplicates(_prints(spark, sf), 0.40, name_score=name_score)
+def similar(spark, sf, name_score=D.edit_ratio, of=None):
+    """Similar pairs of current versions in all dimensions; with of(id), all pairs
+    that hold one of these records."""
+    f = _prints(spark, sf)
+    if of is not None:
+        of = broadcast_if_small(of.select("id").distinct().withColumn("end", F.lit(True)))
+        f = f.join(of, "id", "left")
+    return D.detect_duplicates(f, 0.40, name_score=name_score)
 
 
 def dedup_full_edit(spark, sf):
