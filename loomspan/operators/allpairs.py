@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.session import cut_lineage
@@ -31,6 +31,8 @@ HELD, BATCH, WIDE = 2_000_000, 50_000, 32
 SHIFT, LOW = 32, (1 << 32) - 1
 #: Names are compared first where there are so many times more pairs of rows.
 FEWER = 3
+#: What the overall score of a pair of equal content is at least, and that of equal source where the name's score is above ALIKE.
+CONTENT, SOURCE, ALIKE = 0.99, 0.90, 0.7
 ONE = np.uint64(1)
 
 
@@ -47,7 +49,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"block": pa.array([TaskContext.get().partitionId()], pa.int32()), "ends": pa.array([ends]), "records": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
 
-def _in_blocks(f: DataFrame, run: Callable, schema: str, order: tuple[str, ...]) -> DataFrame:
+def _in_blocks(f: DataFrame, run: Callable, schema: str, order: tuple[str | Column, ...]) -> DataFrame:
     """`run` over each pair of blocks of f(id, ...), which are ranges of `order`;
     where f tells ends, over the pairs of which a block holds one."""
     f = cut_lineage(f)
@@ -206,6 +208,18 @@ def _among(keys: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)] == keys
 
 
+def _leading(of: np.ndarray, other: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs may be among the `most` best of `of`, by score and then the
+    least `other`, where a score is between low and high.  A pair is not if `most`
+    others of `of` are better even by their low."""
+    order = np.lexsort((other, -low, of))
+    n = np.bincount(of)
+    last = order[(np.cumsum(n) - n + most - 1)[n >= most]]
+    least, at = np.full(len(n), -np.inf), np.zeros(len(n), other.dtype)
+    least[of[last]], at[of[last]] = low[last], other[last]
+    return (high > least[of]) | ((high == least[of]) & (other <= at[of]))
+
+
 class Ids:
     """The ids of two blocks and their order."""
 
@@ -277,7 +291,7 @@ class Names:
 
     def __init__(self, left: pa.ChunkedArray, right: pa.ChunkedArray):
         (self.left, first), (self.right, second) = (self._distinct(c) for c in (left, right))
-        texts = [first, second]
+        self.texts = texts = [first, second]
         self.la, self.lb = (np.array([len(x) for x in t], np.int64) for t in texts)
         flat = [np.frombuffer("".join(t).encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         letters, at = np.unique(np.concatenate(flat), return_inverse=True)
@@ -413,11 +427,13 @@ def _equal(left: pa.ChunkedArray, right: pa.ChunkedArray, none: tuple[str, ...])
     return Sets(x, told[0].astype(np.int64)), Sets(y, told[1].astype(np.int64)), n
 
 
-def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFrame:
+def similar_records(f: DataFrame, least: float, w: dict[str, float], most: int | None = None) -> DataFrame:
     """(a, b, a_name_n, b_name_n, summary, caps, content, source), a < b: the pairs
     of f(id, name_n, words, caps, hash, source) that can reach `least`, and all of
     equal content or source; every score but the name's is exact.  With a boolean
-    column `end` in f, the pairs of which one record at least is an end.
+    column `end` in f, the pairs of which one record at least is an end; with
+    `most` too, a pair is left out where its ends have `most` better pairs each,
+    whatever the names' scores are, and equal names that are told score 1.
 
     The name's score is taken to be at most twice the longest common subsequence
     over both lengths, which holds for the edit distance and for matching blocks.
@@ -453,6 +469,23 @@ def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFram
             js = [near.of(i) for i in range(lo, hi)] if alone <= 1 else [np.zeros(0, np.int64)] * (hi - lo)
             return np.repeat(np.arange(lo, hi), [len(x) for x in js]), np.concatenate(js)
 
+        if most and end:
+            number: dict[str, int] = {}
+            told_names = [np.array([number.setdefault(x, len(number)) if x else -1 - side for x in t], np.int64) for side, t in enumerate(names.texts)]  # a blank equals none
+
+        def leading(i, j, name, value, content, source):
+            """Pairs that may be among the best of an end; name: at most its score."""
+            equal, value = told_names[0][names.left[i]] == told_names[1][names.right[j]], value + least - 1e-9
+            low, high = value + w["name"] * equal - 1e-9, value + w["name"] * name + 1e-9
+            low, high = (np.where(source & alike, np.maximum(x, SOURCE), x) for x, alike in ((low, equal), (high, name > ALIKE - 1e-9)))
+            low, high = (np.where(content, np.maximum(x, CONTENT), x) for x in (low, high))
+            keep = np.zeros(len(i), bool)
+            for side, of, other in ((0, i, ids.rank[j + ids.n]), (1, j, ids.rank[i])):
+                own = np.flatnonzero(end[side][of])
+                if len(own):
+                    keep[own] |= _leading(of[own], other[own], low[own], high[own], most)
+            return np.flatnonzero(keep)
+
         def bound(i, j, value):
             """What sketches of words, and letters, allow."""
             n, least_n = a.size[i] + b.size[j], np.minimum(a.size[i], b.size[j])
@@ -496,7 +529,10 @@ def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFram
             value = w["summary"] * summary + w["caps"] * caps + w["content"] * content + w["source"] * source - least + 1e-9
             told = content | source
             for limit in (names.by_letters, names.by_order):
-                keep = np.flatnonzero((w["name"] * limit(names.left[i], names.right[j]) + value >= 0) | told)
+                name = limit(names.left[i], names.right[j])
+                keep = np.flatnonzero((w["name"] * name + value >= 0) | told)
+                if most and end:
+                    keep = keep[leading(*(x[keep] for x in (i, j, name, value, content, source)))]
                 i, j, caps, content, source, value, summary, told = (x[keep] for x in (i, j, caps, content, source, value, summary, told))
             if len(i):
                 x, y = ids.ordered(i, j)
@@ -504,6 +540,6 @@ def similar_records(f: DataFrame, least: float, w: dict[str, float]) -> DataFram
             lo = hi
 
     kind = f.schema["id"].dataType.simpleString()
-    ends = ["end"] if "end" in f.columns else []  # ends stand together, in few blocks
+    ends = ["end"] if "end" in f.columns else []  # ends stand together, in the first few blocks
     f = f.select("id", "name_n", "words", "caps", "hash", "source", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ends])
-    return _in_blocks(f, run, f"a {kind}, b {kind}, a_name_n string, b_name_n string, summary double, caps double, content double, source double", (*ends, "name_n", "id"))
+    return _in_blocks(f, run, f"a {kind}, b {kind}, a_name_n string, b_name_n string, summary double, caps double, content double, source double", (*map(F.desc, ends), "name_n", "id"))

@@ -11,6 +11,8 @@ from loomspan.functions import rules as R
 from loomspan.functions.text import label_key
 
 SIGNALS = ("task_match", "similar", "same_category", "same_ecosystem", "popular", "high_quality")
+#: Similar records that each installed one brings in.
+NEAREST = 5
 
 
 def task_keywords(task: str) -> list[str]:
@@ -79,7 +81,7 @@ def recommend(docs: DataFrame, task: str | None, installed: DataFrame, pairs: Da
         m = task_match(docs, task_keywords(task)).where("score > 0.1")
         parts.append(lit(m, F.col("score") * 0.85, "task_match", F.col("detail")))
     if pairs is not None:
-        s = pairs.join(installed.select("id"), "id").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overall"), "other"))).where("n <= 5")
+        s = pairs.join(installed.select("id"), "id").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overall"), "other"))).where(F.col("n") <= NEAREST)
         parts.append(lit(s.select(F.col("other").alias("id"), "overall"), F.col("overall") * 0.25, "similar", none))
     parts.append(lit(peers(docs, installed, "domain", 5), F.lit(0.15), "same_category", none))
     parts.append(lit(peers(docs, installed, "repo", 3), F.lit(0.10), "same_ecosystem", none))

@@ -11,12 +11,12 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from loomspan.functions.text import name_key, word_set
-from loomspan.operators.allpairs import similar_records
+from loomspan.operators.allpairs import ALIKE, CONTENT, SOURCE, similar_records
 
 WEIGHTS = {"name": 0.30, "summary": 0.20, "caps": 0.35, "content": 0.10, "source": 0.05}
 CLASSES = ((0.95, "EXACT_DUPLICATE"), (0.80, "NEAR_DUPLICATE"), (0.60, "FUNCTIONAL_OVERLAP"), (0.40, "RELATED"))
@@ -94,16 +94,26 @@ def _overall(d: DataFrame, w: dict[str, float], name_score) -> DataFrame:
     """The name's score, the weighted sum with its two overrides, and the class."""
     d = d.withColumn("name", name_score(F.col("a_name_n"), F.col("b_name_n")))
     total = w["name"] * F.col("name") + w["summary"] * F.col("summary") + w["caps"] * F.col("caps") + w["content"] * F.col("content") + w["source"] * F.col("source")
-    total = F.when(F.col("content") == 1, F.greatest(total, F.lit(0.99))).otherwise(total)
-    total = F.when((F.col("source") == 1) & (F.col("name") > 0.7), F.greatest(total, F.lit(0.90))).otherwise(total)
+    total = F.when(F.col("content") == 1, F.greatest(total, F.lit(CONTENT))).otherwise(total)
+    total = F.when((F.col("source") == 1) & (F.col("name") > ALIKE), F.greatest(total, F.lit(SOURCE))).otherwise(total)
     return d.select("a", "b", "name", "summary", "caps", "content", "source", total.alias("overall")).withColumn("class", classify(F.col("overall")))
 
 
-def detect_duplicates(f: DataFrame, least: float = 0.40, weights: dict[str, float] | None = None, name_score=ratio) -> DataFrame:
+def detect_duplicates(f: DataFrame, least: float = 0.40, weights: dict[str, float] | None = None, name_score=ratio, most: int | None = None) -> DataFrame:
     """All pairs with overall >= least; with a column `end` in f, all of which one
-    record at least is an end."""
+    record at least is an end; with `most`, the `most` best of each end and maybe
+    others (see nearest)."""
     w = weights or WEIGHTS
-    return _overall(similar_records(f, least, w), w, name_score).where(F.col("overall") >= least)
+    return _overall(similar_records(f, least, w, most), w, name_score).where(F.col("overall") >= least)
+
+
+def nearest(pairs: DataFrame, of: DataFrame, most: int) -> DataFrame:
+    """(a, b, overall): the pairs that are among the `most` best of a record in
+    of(id), by overall and then the lesser other id.  Each task keeps its best
+    before the shuffle (a group limit), so few pairs are written."""
+    w = Window.partitionBy("id").orderBy(F.desc("overall"), "other")
+    n = both_ways(pairs).join(of, "id", "left_semi").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    return n.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "overall").distinct()
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -31,14 +31,15 @@ def dedup_jaccard(spark, sf):
     return similar_sets(_prints(spark, sf), "words", 0.5, 6)
 
 
-def similar(spark, sf, name_score=D.edit_ratio, of=None):
+def similar(spark, sf, name_score=D.edit_ratio, of=None, most=None):
     """Similar pairs of current versions in all dimensions; with of(id), all pairs
-    that hold one of these records."""
+    that hold one of these records; with `most` too, the `most` best of each."""
     f = _prints(spark, sf)
     if of is not None:
         of = broadcast_if_small(of.select("id").distinct().withColumn("end", F.lit(True)))
         f = f.join(of, "id", "left")
-    return D.detect_duplicates(f, 0.40, name_score=name_score)
+    pairs = D.detect_duplicates(f, 0.40, name_score=name_score, most=most)
+    return pairs if most is None else D.nearest(pairs, of, most)
 
 
 def dedup_full_edit(spark, sf):
